@@ -110,13 +110,24 @@ def text_ends(column: pa.Array) -> list[int]:
 
 
 def map_rows(
-    df: DataFrame, columns: list[str], rows: Callable[[list[list]], list[list]], schema: pa.Schema, ddl: str, text: str = "text"
+    df: DataFrame, columns: list[str], rows: Callable[[list[list]], list[list]], schema: pa.Schema, ddl: str, text: str = "text", raw: bool = False
 ) -> DataFrame:
-    """``mapInArrow`` over bounded slices: ``rows`` gets the columns as lists and gives the output columns."""
+    """``mapInArrow`` over bounded slices: ``rows`` gets the columns as lists and gives the output columns.
+
+    raw: strings arrive as their UTF-8 bytes.
+    """
+
+    def values(column: pa.Array) -> list:
+        return (column.cast(pa.binary()) if raw and pa.types.is_string(column.type) else column).to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            got = rows([c.to_pylist() for c in part.columns])
+            got = rows([values(c) for c in part.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, schema.types)], schema=schema)
 
     return df.select(*columns).mapInArrow(run, ddl)
+
+
+def small(df: DataFrame, most: int) -> bool:
+    """Whether a stored table has at most ``most`` rows, so that it may be broadcast."""
+    return df.limit(most + 1).count() <= most
