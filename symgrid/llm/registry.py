@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symgrid.llm.packing import op9_best_fit_packing
 from symgrid.llm.simhash import op2_simhash_near_dedup
 from symgrid.llm.tokenfile import op5_token_id_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_token_id_files": op5_token_id_files,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
