@@ -187,7 +187,7 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
     A bound of 1 leaves no large pieces: plain best-fit of falling lengths.
     """
-    tried = (plan(counts, capacity, large, groups) for large, groups in [(LARGE, GROUPS), (1.0, 1), *((x, k) for x in (0.0625, 0.125, 0.25) for k in (32, 256, 1024, capacity))])
+    tried = (plan(counts, capacity, large, groups) for large, groups in [(LARGE, GROUPS), (1.0, 1), *((x, k) for x in (0.0625, 0.125, 0.25) for k in (32, 256))])
     best: Plan | None = None
     least = -(-sum(k * n for k, n in counts.items()) // capacity)
     for one in tried:
