@@ -3,8 +3,8 @@
 The tokenizer drops white space, cuts the rest into pieces and encodes each alone, so the ids
 between two spaces may be kept. Where every character of a text belongs to :data:`SIMPLE`,
 normalising is lower-casing character by character and the cutting rule is a character class
-each; those texts go through the caches. Any other text goes to the library whole. Both ways
-give the library's own ids.
+each; the words of those texts are looked up together, as numpy arrays, in a hash table of ids.
+Any other text goes to the library whole. Both ways give the library's own ids.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Words, and pieces of words, that each of the two generations of a cache holds; about 200 bytes each.
-KEEP = 400_000
+#: Words a table holds before it starts anew (some 60 bytes each), and pieces each generation holds (200).
+WORDS, PIECES = 1_000_000, 300_000
+#: Text bytes looked up together.
+BLOCK = 1 << 20
 
 
 def _classes() -> tuple[str, str, str, str]:
     spaces = "\t\n\x0b\x0c\r \x85\xa0"
-    ok = [c for c in map(chr, range(0x300)) if len(c.lower()) == 1 and ord(c.lower()) < 0x300 and c.isspace() == (c in spaces)]
+    ok = [c for c in map(chr, range(0x300)) if len(c.lower()) == 1 and ord(c.lower()) < 0x300]
     letters = [c for c in ok if unicodedata.category(c)[0] == "L"]
     numbers = [c for c in ok if unicodedata.category(c)[0] == "N"]
     return tuple("".join(map(re.escape, x)) for x in (ok, letters, numbers, spaces))  # type: ignore[return-value]
@@ -69,12 +71,71 @@ class Kept:
         return new
 
 
+class Table:
+    """Ids by 64-bit word hash: open addressing in numpy arrays."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.bits = max(4, (2 * most).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int32)
+        self.first = np.zeros(self.most, np.int64)
+        self.count = np.zeros(self.most, np.int64)
+        self.ids = np.zeros(4 * self.most, "<u4")
+        self.entries = self.used = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int64)
+        rows = np.arange(len(hashes))
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(rows):
+            keys = self.keys[slots]
+            hit = keys == hashes[rows]
+            out[rows[hit]] = self.at[slots[hit]]
+            on = ~hit & (keys != 0)
+            rows, slots = rows[on], (slots[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Enter distinct hashes that the table doesn't hold."""
+        n, data = len(hashes), np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(data) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(data)), "<u4")])
+        counts = np.fromiter(map(len, ids), np.int64, n) // 4
+        entries = np.arange(self.entries, self.entries + n)
+        self.ids[self.used : self.used + len(data)] = data
+        self.count[entries] = counts
+        self.first[entries] = self.used + np.cumsum(counts) - counts
+        self.used += len(data)
+        self.entries += n
+        rows, slots = np.arange(n), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(rows):
+            free = np.flatnonzero(self.keys[slots] == 0)
+            taken, one = np.unique(slots[free], return_index=True)
+            self.keys[taken], self.at[taken] = hashes[rows[free[one]]], entries[rows[free[one]]]
+            on = np.ones(len(rows), bool)
+            on[free[one]] = False
+            rows, slots = rows[on], (slots[on] + 1) & ((1 << self.bits) - 1)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, keep: int = KEEP) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY, words: int = WORDS, pieces: int = PIECES) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.words, self.pieces = Kept(keep), Kept(keep)
+        self.words, self.pieces = Table(words), Kept(pieces)
+        self.powers = np.ones(1, np.uint64)
+        self.inverses = np.ones(1, np.uint64)
 
     def library(self, text: str) -> bytes:
         """Ids straight from the library."""
@@ -86,37 +147,72 @@ class Encoder:
             spelt = piece.encode().decode("latin-1").translate(_SPELT)
             self.pieces.young[piece] = struct.pack(f"<{len(got := cut(spelt))}I", *[x.id for x in got])
 
-    def _learn(self, words: set[str]) -> None:
-        new = self.words.missing(words)
-        cut = [_PIECES.findall(w.lower()) for w in new]
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        cut = [_PIECES.findall(w.decode().lower()) for w in words]
         self._learn_pieces(set().union(*cut))
         ids = self.pieces.young.__getitem__
-        self.words.young.update(zip(new, (b"".join(map(ids, x)) for x in cut)))
+        self.words.add(hashes, [b"".join(map(ids, x)) for x in cut])
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.powers) < n:
+            step = np.full(n, _BASE, np.uint64)
+            back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+            step[0] = back[0] = 1
+            self.powers, self.inverses = np.multiply.accumulate(step), np.multiply.accumulate(back)
+        return self.powers[:n], self.inverses[:n]
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts of simple characters."""
+        data = b" " + b" ".join(texts) + b" "
+        letters = np.frombuffer(data, np.uint8)
+        space = _SPACE[letters]
+        change = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = change[::2] + 1, change[1::2] + 1
+        powers, inverses = self._powers(len(letters))
+        sums = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(_BYTE[letters] * powers, out=sums[1:])
+        hashes = (sums[ends] - sums[starts]) * inverses[starts]
+        hashes ^= hashes >> np.uint64(32)
+        hashes = (hashes + (ends - starts).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+        entries = self.words.find(hashes)
+        lost = np.flatnonzero(entries < 0)
+        if len(lost):
+            new, one = np.unique(hashes[lost], return_index=True)
+            if self.words.entries + len(new) > self.words.most:
+                self.words.clear()
+                new, one = np.unique(hashes, return_index=True)
+                lost = np.arange(len(hashes))
+                if len(new) > self.words.most:
+                    return [self.library(t.decode()) for t in texts]
+            self._learn([data[starts[i] : ends[i]] for i in lost[one].tolist()], new)
+            entries[lost] = self.words.find(hashes[lost])
+        counts = self.words.count[entries]
+        after = np.cumsum(counts)
+        ids = self.words.ids[np.repeat(self.words.first[entries] - after + counts, counts) + np.arange(int(after[-1]) if len(after) else 0)].tobytes()
+        bounds = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        edges = (4 * np.concatenate([[0], after])[bounds]).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
     def __call__(self, texts: list[str | None], end: int | None = END) -> list[bytes]:
         """Ids of each text (null: empty), with the end id appended."""
         tail = b"" if end is None else np.asarray([end], "<u4").tobytes()
-        get = self.words.young.get
-        found: list[bytes | tuple[list[str], list[bytes | None]]] = []
-        new: set[str] = set()
-        for text in texts:
-            if not text:
-                found.append(tail)
-            elif _OTHER.search(text):
-                found.append(self.library(text) + tail)
-            else:
-                words = text.split()
-                ids = list(map(get, words))
-                if None in ids:
-                    new.update(w for w, x in zip(words, ids) if x is None)
-                    found.append((words, ids))
-                else:
-                    found.append(b"".join(ids) + tail)
-        if new:
-            self._learn(new)
-            get = self.words.young.__getitem__
-            found = [x if type(x) is bytes else b"".join([get(w) if i is None else i for w, i in zip(*x)]) + tail for x in found]
-        return found
+        out = [tail] * len(texts)
+        rows: list[int] = []
+        block: list[bytes] = []
+        held = 0
+        for row, text in enumerate([*texts, None]):
+            if row == len(texts) or held > BLOCK:
+                if rows:
+                    for k, ids in zip(rows, self._block(block)):
+                        out[k] = ids + tail
+                rows, block, held = [], [], 0
+            if text and ("<|" in text if text.isascii() else _OTHER.search(text)):
+                out[row] = self.library(text) + tail
+            elif text:
+                rows.append(row)
+                block.append(text.encode())
+                held += len(block[-1])
+        return out
 
 
 @cache
