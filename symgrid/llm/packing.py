@@ -28,6 +28,8 @@ CAPACITY = 4096
 #: Pieces above this share of the capacity are large.
 LARGE = 0.125
 GROUPS = 96
+#: Pieces of one length that one task ranks, about.
+RANKED = 1 << 18
 
 
 class Plan:
@@ -223,18 +225,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
 
     Null texts are empty documents (the end id alone); repeated rows are documents of their own;
     null doc_ids keep their null; other columns are ignored; an empty table gives an empty
-    result. The driver gets one count for each length, at most ``capacity`` rows. Ranks come
-    from counts of (length, salt): a length that a third of all pieces have is ranked in as
-    many parts as there are salts.
+    result. The driver gets one count for each length, at most ``capacity`` rows. Pieces are
+    ranked within (length, salt), a length of many pieces having a salt for every
+    :data:`RANKED` of them, so that no task ranks a third of all pieces.
     """
     spark = docs.sparkSession
-    salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The id and the piece alone decide the salt, so equal rows may land in any order: they are interchangeable.
-    cut = stored(pieces(docs, capacity, vocabulary, text, id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")), "pieces")
+    cut = stored(pieces(docs, capacity, vocabulary, text, id), "pieces")
+    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    # At most ``capacity`` rows; equal pieces are interchangeable, so it doesn't matter in which order they are ranked.
+    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, salts long")
+    cut = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")))
     parts = cut.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = stored(parts.select("length", "salt", F.col("count"), F.coalesce(before, F.lit(0)).cast("long").alias("first")), "piece-counts")
-    counts = {r["length"]: r["n"] for r in firsts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    firsts = parts.select("length", "salt", F.coalesce(before, F.lit(0)).cast("long").alias("first"))
     places = np.array(best_plan(counts, capacity).places or np.zeros((0, 6)), np.int64)
     key = places[:, 0] << 40 | places[:, 1]
     order = np.argsort(key, kind="stable")
@@ -250,7 +253,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(at[:, 4] + k // at[:, 3]), pa.array(at[:, 5] + k % at[:, 3] * length)], schema=schema)
 
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = cut.withColumn("n", within).join(firsts.drop("count"), ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("n") - 1).cast("long").alias("rank"))
+    numbered = cut.withColumn("n", within).drop("salts")
+    ranked = numbered.join(firsts, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("n") - 1).cast("long").alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
