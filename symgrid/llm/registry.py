@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symgrid.llm.bytecnn import op3_quality_classifier
+from symgrid.llm.contain import op6_benchmark_decontamination
 from symgrid.llm.packing import op9_best_fit_packing
+from symgrid.llm.secrets import op7_secret_scans
 from symgrid.llm.simhash import op2_simhash_near_dedup
 from symgrid.llm.tokenfile import op5_token_id_files
+from symgrid.llm.topk import op8_exact_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_token_id_files": op5_token_id_files,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_secret_scans": op7_secret_scans,
+    "op8_exact_topk_search": op8_exact_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
