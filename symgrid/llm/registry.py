@@ -11,6 +11,7 @@ from symgrid.llm.contain import op6_benchmark_decontamination
 from symgrid.llm.packing import op9_best_fit_packing
 from symgrid.llm.secrets import op7_secret_scans
 from symgrid.llm.simhash import op2_simhash_near_dedup
+from symgrid.llm.substring import op10_substring_dedup
 from symgrid.llm.tokenfile import op5_token_id_files
 from symgrid.llm.topk import op8_exact_topk_search
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scans": op7_secret_scans,
     "op8_exact_topk_search": op8_exact_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
