@@ -11,13 +11,17 @@ from symgrid.llm.contain import op6_benchmark_decontamination
 from symgrid.llm.packing import op9_best_fit_packing
 from symgrid.llm.secrets import op7_secret_scans
 from symgrid.llm.simhash import op2_simhash_near_dedup
+from symgrid.llm.sitetree import op1_html_extraction
 from symgrid.llm.substring import op10_substring_dedup
 from symgrid.llm.tokenfile import op5_token_id_files
 from symgrid.llm.topk import op8_exact_topk_search
+from symgrid.llm.urlfilter import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_url_filters": op4_url_filters,
     "op5_token_id_files": op5_token_id_files,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scans": op7_secret_scans,
@@ -26,4 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filters": OP4_SQL,
+}
