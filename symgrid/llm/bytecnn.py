@@ -173,13 +173,12 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
     return Model().fit([r.text.encode() for r in got], np.array([r.y > 0 for r in got], np.float32))
 
 
-def scored(docs: DataFrame, model: Model | None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Every column of ``docs`` and ``score``, the probability of label 1 of the whole text.
+def scored(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
+    """Every column of ``docs`` and ``name``, the probability of label 1 of the whole text.
 
     Null and empty texts are one chunk of zeros and get a score like any other; without a model
     every score is 0.5; repeated rows score alike; an empty table gives an empty result.
     """
-    name = "score"
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model, model.tables()))
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != name), T.StructField(name, T.DoubleType())])
 

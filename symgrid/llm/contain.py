@@ -167,6 +167,20 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, conta
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` that contain no item, as :func:`contained_items` tells; nothing moves."""
+    for block in blocks(items, item_text, item_id):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, width, containment))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, text):
+                found = {x[0] for x in shared.value.search(part.column(part.schema.get_field_index(text)).to_pylist())}
+                yield part.filter(pa.array([k not in found for k in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair of at least 0.8 containment."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

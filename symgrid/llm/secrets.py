@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import stored, table
+from symgrid.llm.common import small, stored, table
 
 #: Code points between complementary parts, at most.
 REACH = 400
@@ -28,6 +28,8 @@ ENDPOINT = r"https?://[A-Za-z0-9.:/_%?&=#~@+-]{4,}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 _BLOCK = 64
+#: Texts with linked parts that are broadcast at most.
+BROADCAST_LINKS = 20_000
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -54,13 +56,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
-def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, key, base, access, weak): spans of every row; key stands for the text."""
+def scan(docs: DataFrame, *keep: str, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(doc_id, key, spans of each kind) of every row, and its columns ``keep``; key stands for the text."""
     assign = f"char_length(regexp_extract(m, r'{ASSIGN.replace(chr(39), chr(92) + 'x27')}', 2)) >= 12"
     mixed = "m rlike '[0-9]' and m rlike '[a-z]' and m rlike '[A-Z]' and char_length(m) <= 130"
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(k for k in keep if k != "text"))
     return rows.select(
         "doc_id",
+        *keep,
         F.struct(F.xxhash64("text"), F.crc32("text"), F.octet_length("text")).alias("key"),
         F.expr(spans_sql("text", ASSIGN, 0, assign)).alias("assign"),
         F.expr(spans_sql("text", ACCESS_LONG, 1)).alias("access"),
@@ -91,6 +94,30 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     return near.groupBy("doc_id", "key").agg(F.collect_set("w").alias("extra"))
 
 
+def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``docs`` with every reported span of its texts replaced by ``mark``; overlapping spans by one.
+
+    Rows, their number and the other columns stay; ``n_chars``, if there is one, is counted anew. A
+    null text stays null. Weak parts are joined by (doc_id, text), so equal rows are treated alike.
+    """
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    parts = scan(inner)
+    extra = stored(linked(parts.select("doc_id", "key", *KINDS), reach), "secret-links")
+    few = F.broadcast(extra) if small(extra, BROADCAST_LINKS) else extra
+    rows = scan(inner, "_row", "text").alias("f").join(few.alias("x"), F.expr("f.doc_id <=> x.doc_id and f.key = x.key"), "left")
+    every = rows.select("f._row", "f.text", F.array_sort(F.concat("assign", "access", "hex", F.coalesce("extra", F.expr(f"cast(array() as {_SPAN})")))).alias("z"))
+    most = "(m, e) -> greatest(m, e.end)"
+    before = f"greatest(aggregate(slice(t, 1, i div {_BLOCK}), 0, (m, e) -> greatest(m, e)), aggregate(slice(z, i - i % {_BLOCK} + 1, i % {_BLOCK}), 0, {most}))"
+    tops = f"transform(sequence(0, (size(z) - 1) div {_BLOCK}), b -> aggregate(slice(z, b * {_BLOCK} + 1, {_BLOCK}), 0, {most}))"
+    piece = f"flatten(transform(array({before}), p -> if(i = 0 or x.start >= p, array(substring(text, p + 1, x.start - p), '{mark}'), array(cast(null as string)))))"
+    pieces = f"flatten(transform(array({tops}), t -> flatten(transform(z, (x, i) -> {piece}))))"
+    rest = f"substring(text, aggregate(z, 0, {most}) + 1)"
+    clean = every.withColumn("text", F.expr(f"if(size(z) = 0, text, concat(array_join({pieces}, ''), {rest}))"))
+    new = F.when(F.col(f"_row.`{text}`").isNotNull(), F.col("text"))
+    count = {"n_chars": F.when(new.isNotNull(), F.char_length("text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return clean.select(*((new if c == text else count.get(c, F.col(f"_row.`{c}`"))).alias(c) for c in docs.columns))
+
+
 def secret_spans(docs: DataFrame, reach: int = REACH, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, base, spans, n_assign, n_access, n_hex) of every row; spans are arrays of (start, kind, end).
 
@@ -98,7 +125,7 @@ def secret_spans(docs: DataFrame, reach: int = REACH, text: str = "text", id: st
     none; equal rows are scanned alike and each gives its row; a null doc_id stays null; other
     columns are ignored; an empty table gives an empty result.
     """
-    found = stored(scan(docs, text, id), "secret-parts")
+    found = stored(scan(docs, text=text, id=id), "secret-parts")
     extra = linked(found, reach)
     base = F.array_sort(F.concat("assign", "access", "hex"))
     rows = found.alias("f").join(extra.alias("x"), F.expr("f.doc_id <=> x.doc_id and f.key = x.key"), "left")

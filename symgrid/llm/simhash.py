@@ -143,6 +143,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", i
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
+
+    Of rows with one doc_id one stays. Rows without a doc_id can't be named as a group's first:
+    those of equal text count as one and one of them stays.
+    """
+    found = near_duplicates(docs, radius, text, id).where("doc_id = component_id").groupBy("doc_id").count()
+    first = stored(found, "simhash-first")
+    rows = docs.join(first.select(F.col("doc_id").alias("_first")), docs[id].cast("long") == F.col("_first"), "left_semi")
+    if first.where("count > 1").head(1):
+        rows = rows.dropDuplicates([id])
+    nameless = docs.where(F.col(id).isNull())
+    return rows.unionByName(nameless.dropDuplicates([text])) if nameless.head(1) else rows
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
