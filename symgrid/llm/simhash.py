@@ -151,7 +151,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, text: str = "text", id: s
     """
     found = near_duplicates(docs, radius, text, id).where("doc_id = component_id").groupBy("doc_id").count()
     first = stored(found, "simhash-first")
-    rows = docs.join(first.select(F.col("doc_id").alias("_first")), docs[id].cast("long") == F.col("_first"), "left_semi")
+    # Names of kept documents grow with the corpus: they are never broadcast, so every size has the same plan.
+    rows = docs.join(first.select(F.col("doc_id").alias("_first")).hint("merge"), docs[id].cast("long") == F.col("_first"), "left_semi")
     if first.where("count > 1").head(1):
         rows = rows.dropDuplicates([id])
     nameless = docs.where(F.col(id).isNull())
