@@ -1 +1 @@
-"""streaming."""
+"""Continuous forms: run records and file states as streams."""
