@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symgrid.llm.common import slices, table
+from symgrid.llm.common import map_arrow, slices, table
 
 WIDTH, FILTERS, EMBEDDED, HIDDEN, HOP = 8, 16, 8, 16, 256
 #: Labelled rows a model is fitted on, at most: those with the smallest hash of their doc_id.
@@ -188,7 +188,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", name: str =
             score = np.full(len(texts), 0.5) if shared.value is None else shared.value[0].scores(texts, shared.value[1])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
-    return docs.drop(name).withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.drop(name).withColumn(text, F.col(text).cast("string")), run, schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text bytes an Arrow slice hands to numpy at once; a single longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch, about; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +112,17 @@ def text_ends(column: pa.Array) -> list[int]:
     return ends
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size: Spark's defaults of 10,000 rows and 64 MB a batch, which the
+    JVM and the worker each hold more than once, are lowered unless the session has set them.
+    """
+    conf = df.sparkSession.conf
+    for key, given, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(BATCH_BYTES))):
+        if conf.get(key, given) == given:
+            conf.set(key, most)
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(
     df: DataFrame, columns: list[str], rows: Callable[[list[list]], list[list]], schema: pa.Schema, ddl: str, text: str = "text", raw: bool = False
 ) -> DataFrame:
@@ -125,7 +139,7 @@ def map_rows(
             got = rows([values(c) for c in part.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, schema.types)], schema=schema)
 
-    return df.select(*columns).mapInArrow(run, ddl)
+    return map_arrow(df.select(*columns), run, ddl)
 
 
 def small(df: DataFrame, most: int) -> bool:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import slices, table
+from symgrid.llm.common import map_arrow, slices, table
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -161,7 +161,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, conta
                 found = [(ids[row], index.items[owner], n, of) for row, owner, n, of in index.search(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 4, schema.types)], schema=schema)
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
+        part = map_arrow(rows, run, "doc_id long, item_id long, n_shared long, n_item long")
         out = part if out is None else out.unionByName(part)
     assert out is not None
     return out
@@ -177,7 +177,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, contain
                 found = {x[0] for x in shared.value.search(part.column(part.schema.get_field_index(text)).to_pylist())}
                 yield part.filter(pa.array([k not in found for k in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import slices, stored, table
+from symgrid.llm.common import map_arrow, slices, stored, table
 from symgrid.llm.tokens import VOCABULARY, encoder
 
 CAPACITY = 4096
@@ -217,7 +217,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     numbered = cut.withColumn("n", within).drop("salts")
     ranked = numbered.join(firsts, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("n") - 1).cast("long").alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import map_rows, small, stored, table
+from symgrid.llm.common import map_arrow, map_rows, small, stored, table
 from symgrid.llm.components import connected_components
 
 BITS = 64
@@ -111,14 +111,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
         few = small(shared, BROADCAST_KEYS)
         members = tables.join(F.broadcast(shared) if few else shared, "key")
         last = family == 2
-        found = (
-            (members if last else members.where(F.col("count") <= bucket))
-            .groupBy("key")
-            .agg(F.collect_list("fp").alias("members"))
-            .select("members")
-            .mapInArrow(lambda batches: (spanning_links(x, radius) for x in batches), "a long, b long")
-            .distinct()
-        )
+        groups = (members if last else members.where(F.col("count") <= bucket)).groupBy("key").agg(F.collect_list("fp").alias("members"))
+        found = map_arrow(groups.select("members"), lambda batches: (spanning_links(x, radius) for x in batches), "a long, b long").distinct()
         out = found if out is None else out.unionByName(found)
         if last or not shared.where(F.col("count") > bucket).head(1):
             return out.distinct() if family else out

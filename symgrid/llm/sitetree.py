@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import slices, small, stored, table
+from symgrid.llm.common import map_arrow, slices, small, stored, table
 
 DECAY, NOISE, PAGES = 0.9, 0.2, 5
 #: Sites whose noise is broadcast at most (a short list of numbers each); more are joined by a shuffle.
@@ -250,7 +250,7 @@ def noise_nodes(pages: DataFrame, least: int = PAGES, noise: float = NOISE) -> D
                 rows += [(site, page, *x) for x in nodes]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, schema.types)], schema=schema)
 
-    rows = pages.where("site is not null and html is not null").select("site", "html").mapInArrow(run, "site string, page long, node long, look long, content long")
+    rows = map_arrow(pages.where("site is not null and html is not null").select("site", "html"), run, "site string, page long, node long, look long, content long")
     # Of equal pages of a site one stays; which one makes no difference.
     each = rows.groupBy("site", "page", "node").agg(F.first("look").alias("look"), F.first("content").alias("content"))
     log = F.col("n") * F.log("n")
@@ -283,7 +283,7 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
             texts = [main_text(h, frozenset(x & 0xFFFFFFFFFFFFFFFF for x in nodes or ())) for h, nodes in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=[*part.schema.names[:n], "text"])
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import filesystem, open_file, put, slices, stored, table, work_dir
+from symgrid.llm.common import filesystem, map_arrow, open_file, put, slices, stored, table, work_dir
 from symgrid.llm.fmindex import FMIndex
 
 WINDOW = 20
@@ -144,7 +144,7 @@ def scan(docs: DataFrame, path: str, parts: int, window: int, gram: int, bucket_
         if rows:
             yield scan_bucket(f"{path}/{uuid.uuid4().hex}", rows, parts, window, gram)
 
-    return docs.mapInArrow(run, _SCAN)
+    return map_arrow(docs, run, _SCAN)
 
 
 def repeated_anchors(group: pa.Table) -> pa.Table:
@@ -322,7 +322,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
 
     # The list of a bucket has at most one entry a shard, and its repeats are those of its own texts.
     replies = stored(shards, "repeats").unionByName(every).repartition(wide, "src").groupBy("src").agg(F.collect_list("row").alias("row"), F.collect_list("start").alias("start"))
-    return replies.mapInArrow(finish, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
+    return map_arrow(replies, finish, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

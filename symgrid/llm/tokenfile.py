@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import open_file, put, slices, table, work_dir
+from symgrid.llm.common import map_arrow, open_file, put, slices, table, work_dir
 from symgrid.llm.tokens import VOCABULARY, encoder
 
 FRAME_BYTES = 1 << 18
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, files: int, vocabulary: str = VOCAB
         put(name, encoded(documents(), shape))
         yield pa.RecordBatch.from_pydict({"number": [number], "path": [name], "documents": [shape.documents], "tokens": [shape.tokens]}, schema=pa.schema([("number", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    written = ordered.mapInArrow(run, "number long, path string, documents long, tokens long").collect()
+    written = map_arrow(ordered, run, "number long, path string, documents long, tokens long").collect()
     return [(r.path, r.documents, r.tokens) for r in sorted(written, key=lambda r: r.number)]
 
 
@@ -178,7 +178,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     paths = spark.createDataFrame(listed, "path string, start long").repartition(max(1, len(listed)))
-    return paths.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(paths, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

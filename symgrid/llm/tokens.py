@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Words a table holds before it starts anew (some 60 bytes each), and pieces each generation holds (200).
-WORDS, PIECES = 1_000_000, 300_000
+WORDS, PIECES = 500_000, 200_000
 #: Text bytes looked up together.
 BLOCK = 1 << 20
 

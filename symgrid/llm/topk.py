@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import stored, table
+from symgrid.llm.common import map_arrow, stored, table
 
 K = 5
 #: Queries of a block, by their bytes; vectors that give the first thresholds; vectors the rotation is fitted on.
@@ -141,7 +141,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = K, vector: str =
                 best = search(q, ids, rotation, floor, parts(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(best.query + first), pa.array(ids[best.query]), pa.array(best.score), pa.array(best.id)], names=["q", "query_id", "score", "vec_id"])
 
-            out = out.unionByName(own.select("vec_id", "x").mapInArrow(run, "q long, query_id long, score long, vec_id long"))
+            out = out.unionByName(map_arrow(own.select("vec_id", "x"), run, "q long, query_id long, score long, vec_id long"))
             number += len(q)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
