@@ -43,17 +43,14 @@ class WaveletMatrix:
             self.zeros.append(int(n - bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
 
-    def rank(self, symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol occurs before each end and each start."""
-        a, b, base = starts.copy(), ends.copy(), np.zeros(len(symbols), np.int64)
+    def placed(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Where each place ends up in the lowest level, going the way of its symbol."""
+        x = places.copy()
         for k, level in enumerate(range(self.bits - 1, -1, -1)):
-            one = (symbols >> level & 1).astype(bool)
-            words, before, zeros = self.words[k], self.before[k], self.zeros[k]
-            for x in (a, b, base):
-                at = x >> 6
-                ones = before[at] + np.bitwise_count(words[at] & ((_ONE << (x & 63).astype(np.uint64)) - _ONE))
-                x[:] = np.where(one, zeros + ones, x - ones)
-        return b - base, a - base
+            at = x >> 6
+            ones = self.before[k][at] + np.bitwise_count(self.words[k][at] & ((_ONE << (x & 63).astype(np.uint64)) - _ONE))
+            x = np.where((symbols >> level & 1).astype(bool), self.zeros[k] + ones, x - ones)
+        return x
 
 
 class FMIndex:
@@ -67,6 +64,9 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
         # Before the first symbol comes the last one, a zero, as if the sequence were a ring.
         self.last = WaveletMatrix(text[self.order - 1], max(1, (self.symbols - 1).bit_length()))
+        # Before place p stand placed(p) - placed(0) of a symbol: what follows from the symbol alone is kept.
+        every = np.arange(self.symbols)
+        self.shift = self.first[:-1] - self.last.placed(every, np.zeros(self.symbols, np.int64))
         # Where runs of suffixes that agree in ``depth`` symbols begin and end.
         ranked = self._agree(text, rank)
         self.runs = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -92,8 +92,8 @@ class FMIndex:
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the interval of symbol + pattern from that of the pattern."""
-        ends, starts = self.last.rank(symbols, high, low)
-        return self.first[symbols] + starts, self.first[symbols] + ends
+        found = self.last.placed(np.concatenate([symbols, symbols]), np.concatenate([low, high])) + np.tile(self.shift[symbols], 2)
+        return found[: len(symbols)], found[len(symbols) :]
 
     def matching_statistics(self, streams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each place of each stream the longest match that starts there, up to ``depth``, and its interval.
