@@ -271,19 +271,19 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
     cleaned by its own tags alone; repeated rows are kept; an empty table gives an empty result.
     """
     keep = [c for c in pages.columns if c not in (html, "text")]
-    named = pages.select(*keep, F.col(html).cast("string").alias("html"), F.nullif(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit("")).alias("site"))
+    # The other columns travel as one, so that their names can't clash.
+    named = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(html).cast("string").alias("html"), F.nullif(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit("")).alias("site"))
     noise = stored(noise_nodes(named.select("site", "html")), "noise")
     few = small(noise, BROADCAST_NODES) and (noise.agg(F.sum(F.size("nodes"))).first()[0] or 0) <= BROADCAST_NODES
-    joined = named.join(F.broadcast(noise) if few else noise, "site", "left").select(*keep, "html", "nodes")
-    schema = joined.drop("html", "nodes").withColumn("text", F.lit("")).schema
+    joined = named.join(F.broadcast(noise) if few else noise, "site", "left").select("row", "html", "nodes")
+    schema = joined.select("row").withColumn("text", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            n = part.num_columns - 2
-            texts = [main_text(h, frozenset(x & 0xFFFFFFFFFFFFFFFF for x in nodes or ())) for h, nodes in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=[*part.schema.names[:n], "text"])
+            texts = [main_text(h, frozenset(x & 0xFFFFFFFFFFFFFFFF for x in nodes or ())) for h, nodes in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return map_arrow(joined, run, schema)
+    return map_arrow(joined, run, schema).select(*(F.col(f"row.`{c}`") for c in keep), "text")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
