@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from symgrid.llm.common import map_arrow, slices, table
 
 WIDTH, FILTERS, EMBEDDED, HIDDEN, HOP = 8, 16, 8, 16, 256
+ROW = HOP + WIDTH - 1
 #: Labelled rows a model is fitted on, at most: those with the smallest hash of their doc_id.
 SAMPLE = 3000
 EPOCHS, BATCH, RATE = 14, 32, 0.012
@@ -50,26 +51,32 @@ class Model:
 
     @staticmethod
     def laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts in hops of zero-padded bytes, one hop of zeros after the last; first hop of each text."""
+        """Hops of all texts, a row each, with the bytes a filter reads past a hop's end; first hop of each text.
+
+        What follows a text is zeros, never the next text: a score doesn't depend on its neighbours.
+        """
         hops = np.array([max(1, -(-len(t) // HOP)) for t in texts], np.int64)
         first = np.concatenate([[0], np.cumsum(hops)])
-        data = np.zeros((int(first[-1]) + 1) * HOP, np.uint8)
-        for text, at in zip(texts, (first[:-1] * HOP).tolist()):
-            data[at : at + len(text)] = np.frombuffer(text, np.uint8)
+        data = np.zeros((int(first[-1]), ROW), np.uint8)
+        for text, at, n in zip(texts, first[:-1].tolist(), hops.tolist()):
+            flat = np.zeros(n * HOP + WIDTH - 1, np.uint8)
+            flat[: len(text)] = np.frombuffer(text, np.uint8)
+            data[at : at + n] = np.lib.stride_tricks.sliding_window_view(flat, ROW)[::HOP]
         return data, first
 
     def pooled(self, data: np.ndarray, tables: np.ndarray, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Maximum of each filter in each hop before the bias and the rectifier, and at which byte."""
-        hops = len(data) // HOP - 1
+        """Maximum of each filter in each hop before the bias and the rectifier, and at which byte of all rows."""
+        hops = len(data)
         top = np.empty((hops, FILTERS), np.float32)
         at = np.empty((hops, FILTERS), np.int64) if where else None
-        total = np.empty((_BLOCK * HOP, FILTERS), np.float32)
+        total = np.empty((min(_BLOCK, hops) * HOP, FILTERS), np.float32)
         part = np.empty_like(total)
         for a in range(0, hops, _BLOCK):
-            n = (min(hops, a + _BLOCK) - a) * HOP
-            np.take(tables[0], data[a * HOP : a * HOP + n], axis=0, out=total[:n], mode="clip")
+            rows = data[a : a + _BLOCK]
+            n = len(rows) * HOP
+            np.take(tables[0], rows[:, :HOP].ravel(), axis=0, out=total[:n], mode="clip")
             for k in range(1, WIDTH):
-                np.take(tables[k], data[a * HOP + k : a * HOP + k + n], axis=0, out=part[:n], mode="clip")
+                np.take(tables[k], rows[:, k : k + HOP].ravel(), axis=0, out=part[:n], mode="clip")
                 total[:n] += part[:n]
             cube = total[:n].reshape(-1, HOP, FILTERS)
             if at is None:
@@ -77,7 +84,7 @@ class Model:
             else:
                 own = cube.argmax(1)
                 top[a : a + len(cube)] = np.take_along_axis(cube, own[:, None], 1)[:, 0]
-                at[a : a + len(cube)] = own + (a + np.arange(len(cube)))[:, None] * HOP
+                at[a : a + len(cube)] = own + (a + np.arange(len(cube)))[:, None] * ROW
         return top, at
 
     def forward(self, first: np.ndarray, top: np.ndarray) -> dict[str, np.ndarray]:
@@ -124,9 +131,9 @@ class Model:
         hop *= f["hop"] > 0
         g["bias"] = hop.sum(0)
         table = np.zeros((WIDTH, 256, FILTERS), np.float32)
-        filters = np.broadcast_to(np.arange(FILTERS), at.shape)
+        filters, flat = np.broadcast_to(np.arange(FILTERS), at.shape), data.ravel()
         for k in range(WIDTH):
-            np.add.at(table[k], (data[at + k], filters), hop)
+            np.add.at(table[k], (flat[at + k], filters), hop)
         g["embed"] = np.einsum("kbf,kef->be", table, p["filter"])
         g["filter"] = np.einsum("kbf,be->kef", table, p["embed"])
         return loss, g
