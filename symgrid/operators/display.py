@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from symgrid.functions import text as X
 
-MARKER = "[output truncated to fit the token budget; narrow the query or raise --budget]"
+MARKER = "[output cut to fit; raise the --budget]"
 MARKER_COST = 21
 FIND_LIMIT, NEAR, SHOWN = 40, 5, 3
-EVERYTHING = 1 << 40
+EVERYTHING = (1 << 31) - 1
 
 
 def ordered_symbols(defs: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def fitted(lines: DataFrame, budget: int, text: str = "content", pos: str = "pos
     rows = lines.withColumn("_cost", cost + 1).withColumn("_lead", t.rlike(r"^\s").cast("long")).withColumn("_trail", t.rlike(r"\s$").cast("long"))
     ends = rows.agg(F.sum("_cost").alias("all"), F.min_by("_lead", pos).alias("lead"), F.max_by("_trail", pos).alias("trail")).first()
     if budget <= 0 or ends["all"] is None:
-        return lines.limit(0)
+        return lines.limit(0).withColumn("is_marker", F.lit(False))
     if ends["all"] - 1 + ends["lead"] + ends["trail"] <= budget:
         return lines.withColumn("is_marker", F.lit(False))
     near = rows.orderBy(pos).limit(max(budget, 1))

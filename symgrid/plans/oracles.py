@@ -160,7 +160,7 @@ SELECT wanted, coalesce(max(CASE WHEN path = k THEN path END), CASE WHEN count(p
     "fit_lines": f"""WITH {LINES}, l AS (SELECT content, CASE WHEN path LIKE '%/doc_1.py' THEN 0 ELSE 100000 END + line AS pos FROM lines WHERE path LIKE '%/doc_1.py' OR path LIKE '%/doc_2.py'),
 c AS (SELECT *, {tokens("trim(content, ' ')")} AS cost, row_number() OVER (ORDER BY pos) AS k, count(*) OVER () AS n FROM l),
 s AS (SELECT *, sum(cost + 1) OVER (ORDER BY pos) - 1 + (SELECT CAST(regexp_matches(content, '^\\s') AS INTEGER) FROM c WHERE k = 1) AS used, sum(cost + 1) OVER () - 1 + (SELECT CAST(regexp_matches(content, '^\\s') AS INTEGER) FROM c WHERE k = 1) + (SELECT CAST(regexp_matches(content, '\\s$') AS INTEGER) FROM c WHERE k = n) AS total FROM c)
-SELECT content, pos, false AS is_marker FROM s WHERE total <= 300 OR used + 22 <= 300 UNION ALL SELECT DISTINCT '[output truncated to fit the token budget; narrow the query or raise --budget]', -1, true FROM s WHERE total > 300""",
+SELECT content, pos, false AS is_marker FROM s WHERE total <= 300 OR used + 22 <= 300 UNION ALL SELECT DISTINCT '[output cut to fit; raise the --budget]', -1, true FROM s WHERE total > 300""",
     "stats_totals": f"WITH {DEFS} SELECT 'total' AS section, 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'total', 'loc', CAST(sum(loc) AS BIGINT) FROM files UNION ALL SELECT 'total', 'symbols', count(*) FROM defs UNION ALL SELECT 'language', language, count(*) FROM files GROUP BY language UNION ALL SELECT 'kind', kind, count(*) FROM defs GROUP BY kind",
     "refresh_plan": f"""WITH {FILES}, now AS (SELECT path, sha256, CAST(regexp_extract(path, 'doc_(\\d+)\\.py$', 1) AS BIGINT) AS k FROM files), a AS (SELECT path, CASE WHEN k % 3 = 0 THEN 'old' ELSE sha256 END AS o FROM now WHERE k % 5 <> 0), b AS (SELECT path, sha256 AS s FROM now WHERE k % 4 <> 0)
 SELECT path, CASE WHEN s IS NULL THEN 'drop' WHEN o = s THEN 'reuse' ELSE 'parse' END AS action FROM a FULL JOIN b USING (path)""",
