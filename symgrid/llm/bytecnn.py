@@ -24,6 +24,8 @@ ROW = HOP + WIDTH - 1
 #: Labelled rows a model is fitted on, at most: those with the smallest hash of their doc_id.
 SAMPLE = 3000
 EPOCHS, BATCH, RATE = 14, 32, 0.012
+#: Batches a model sees at least: small samples go round more often.
+STEPS = 400
 THRESHOLD = 0.3
 _BLOCK = 128
 
@@ -144,7 +146,9 @@ class Model:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         t, order = 0, np.arange(len(texts))
-        total = epochs * -(-len(texts) // batch)
+        batches = -(-len(texts) // batch)
+        epochs = max(epochs, -(-STEPS // batches))
+        total = epochs * batches
         for _ in range(epochs):
             r.shuffle(order)
             for at in range(0, len(order), batch):

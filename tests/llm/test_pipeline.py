@@ -10,7 +10,8 @@ from symgrid.llm.common import table
 from tests.llm.test_operators import ODD, SCHEMA
 
 
-def test_stages(spark, data, tmp_path):
+def test_stages(spark, tmp_path):
+    data = "/root/testdata/sf0.01"
     docs = table(spark, data, "documents")
     kept = [docs]
     for name, stage in P.STAGES:
