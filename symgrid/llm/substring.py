@@ -3,10 +3,13 @@
 An index of every document for every other one to be streamed through costs the square of the
 corpus, so shards are cut by content instead of by document:
 
-1. Scan. Documents are kept in buckets of bounded size. The smallest hash of the 8-word grams of
-   a window is its anchor; equal windows have equal anchors. Each bucket reports the distinct
-   grams that are anchors, 8 bytes each, once however often they occur.
-2. Anchors seen in two buckets, or twice in one, are told to the buckets that have them.
+1. Scan. Documents are kept in buckets of bounded size. Each bucket reports the hash of every
+   distinct word sequence with the first document that has it; of equal documents everywhere
+   the earliest goes on, and of the others every window is a repeat already.
+2. The smallest hash of the 8-word grams of a window is its anchor; equal windows have equal
+   anchors. Each bucket reports the distinct grams that are anchors, 8 bytes each, once however
+   often they occur. Those seen in two buckets, or twice in one, are told to the buckets that
+   have them.
 3. In its bucket only the first of equal windows goes on; the others are repeats already.
    Consecutive windows of one repeated anchor travel as one stretch of words, to the shard of
    that anchor. A passage that a third of all documents hold is one stretch a bucket there.
@@ -39,7 +42,8 @@ GRAM = 8
 BUCKET_BYTES = 16 << 20
 _STEPS = [[pow(b, i + 1, 1 << 64) for i in range(64)] for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-_SCAN = "part int, src string, seen binary, twice binary"
+_HEADS = "part int, src string, hash binary, doc_id binary, known binary, row binary"
+_ANCHORS = "part int, src string, seen binary, twice binary"
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
@@ -106,29 +110,86 @@ def write_bucket(path: str, rows: list[tuple[int | None, bytes]]) -> None:
     put(path, [out.getvalue()])
 
 
-def scan_bucket(path: str, rows: list[tuple[int | None, bytes]], parts: int, window: int, gram: int) -> pa.RecordBatch:
-    """Keep a bucket and report its anchors by part."""
+def put_numbers(path: str, numbers: np.ndarray) -> None:
+    put(path, [numbers.astype(np.int32).tobytes()])
+
+
+def numbers_at(path: str) -> np.ndarray:
+    """The numbers of a file beside a bucket; none if there is no such file."""
+    fs, plain = filesystem(path)
+    if not fs.get_file_info(plain).is_file:
+        return np.zeros(0, np.int32)
+    with open_file(path) as source:
+        return np.frombuffer(source.read(), np.int32)
+
+
+def by_part(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, indices of its members) of every part that has any."""
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(int(k), order[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges))]
+
+
+def scan_bucket(path: str, rows: list[tuple[int | None, bytes]], parts: int, window: int) -> pa.RecordBatch:
+    """Keep a bucket and report by part the first document of each word sequence; its other copies are noted beside the bucket."""
     write_bucket(path, rows)
-    chosen = []
-    for _, text in rows:
+    first: dict[bytes, int] = {}
+    copies: list[int] = []
+    for row, (_, text) in enumerate(rows):
         words = text.split()
+        if len(words) >= window:
+            digest = xxhash.xxh3_128_digest(b" ".join(words))
+            if digest in first:
+                copies.append(row)
+            else:
+                first[digest] = row
+    put_numbers(path + ".copies", np.array(copies, np.int32))
+    hashes, at = list(first), list(first.values())
+    part = parted(np.frombuffer(b"".join(hashes), np.uint64)[::2].copy(), parts)
+    out = []
+    for k, own in by_part(part, parts) or [(0, np.zeros(0, np.int64))]:
+        ids = [rows[at[i]][0] for i in own]
+        out.append((k, path, b"".join(hashes[i] for i in own), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array([x is not None for x in ids], bool).tobytes(), np.array([at[i] for i in own], np.int32).tobytes()))
+    types = [pa.int32(), pa.string(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=[c.split()[0] for c in _HEADS.split(", ")])
+
+
+def earlier_copies(group: pa.Table) -> pa.Table:
+    """For each bucket of a part the documents whose word sequence an earlier document has."""
+    srcs = group.column("src").to_pylist()
+    joined = lambda name, kind: [np.frombuffer(b, kind) for b in group.column(name).to_pylist()]
+    rows = joined("row", np.int32)
+    src = np.repeat(np.arange(len(srcs)), [len(r) for r in rows])
+    row, doc_id, known = np.concatenate(rows), np.concatenate(joined("doc_id", np.int64)), np.concatenate(joined("known", bool))
+    number = np.unique(np.concatenate(joined("hash", "V16")), return_inverse=True)[1]
+    rank = np.argsort(np.argsort(np.array(srcs)))  # ties between equal doc_ids follow the bucket's name
+    order = np.lexsort((row, rank[src], doc_id, ~known, number))
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = number[order][1:] == number[order][:-1]
+    out = [(srcs[k], row[later][own].tobytes()) for k, own in by_part(src[later], len(srcs))]
+    return pa.table({"src": pa.array([r[0] for r in out], pa.string()), "rows": pa.array([r[1] for r in out], pa.binary())})
+
+
+def anchor_bucket(path: str, told: list[bytes], parts: int, window: int, gram: int) -> pa.RecordBatch:
+    """The anchors of a bucket by part, without those of documents that are copies; all copies are noted beside the bucket."""
+    copies = np.unique(np.concatenate([numbers_at(path + ".copies"), *(np.frombuffer(b, np.int32) for b in told)]))
+    put_numbers(path + ".gone", copies)
+    skip = set(copies.tolist())
+    chosen = []
+    for row, (_, text) in enumerate(read_bucket(path)):
+        words = text.split() if row not in skip else []
         if len(words) >= window:
             chosen.append(Windows(words, window, gram).chosen())
     values, counts = np.unique(np.concatenate(chosen or [np.zeros(0, np.uint64)]), return_counts=True)
-    part = parted(values, parts)
-    order = np.argsort(part, kind="stable")
-    values, counts, part = values[order], counts[order], part[order]
-    edges = np.searchsorted(part, np.arange(parts + 1))
-    there = np.flatnonzero(np.diff(edges))
-    cuts = [(int(k), slice(edges[k], edges[k + 1])) for k in there] or [(0, slice(0, 0))]
+    cuts = by_part(parted(values, parts), parts) or [(0, np.zeros(0, np.int64))]
     return pa.RecordBatch.from_pydict(
         {"part": pa.array([k for k, _ in cuts], pa.int32()), "src": [path] * len(cuts), "seen": [values[c].tobytes() for _, c in cuts], "twice": [(counts[c] > 1).tobytes() for _, c in cuts]},
         schema=pa.schema([("part", pa.int32()), ("src", pa.string()), ("seen", pa.binary()), ("twice", pa.binary())]),
     )
 
 
-def scan(docs: DataFrame, path: str, parts: int, window: int, gram: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Write the buckets and give their anchors (part, src, seen, twice); every attempt of a task writes files of its own."""
+def scan(docs: DataFrame, path: str, parts: int, window: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Write the buckets and report their word sequences; every attempt of a task writes files of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int | None, bytes]] = []
@@ -137,14 +198,14 @@ def scan(docs: DataFrame, path: str, parts: int, window: int, gram: int, bucket_
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 text = text or b""
                 if rows and held + len(text) > bucket_bytes:
-                    yield scan_bucket(f"{path}/{uuid.uuid4().hex}", rows, parts, window, gram)
+                    yield scan_bucket(f"{path}/{uuid.uuid4().hex}", rows, parts, window)
                     rows, held = [], 0
                 rows.append((doc_id, text))
                 held += len(text) + 64
         if rows:
-            yield scan_bucket(f"{path}/{uuid.uuid4().hex}", rows, parts, window, gram)
+            yield scan_bucket(f"{path}/{uuid.uuid4().hex}", rows, parts, window)
 
-    return map_arrow(docs, run, _SCAN)
+    return map_arrow(docs, run, _HEADS)
 
 
 def repeated_anchors(group: pa.Table) -> pa.Table:
@@ -172,10 +233,11 @@ def stretches(group: pa.Table, parts: int, window: int, gram: int) -> pa.Table:
     path = group.column("src")[0].as_py()
     wanted = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("anchors").to_pylist()]))
     rows = read_bucket(path)
+    skip = set(numbers_at(path + ".gone").tolist())
     kept: dict[int, np.ndarray] = {}
     found: list[tuple[np.ndarray, ...]] = []
     for row, (_, text) in enumerate(rows):
-        words = text.split()
+        words = text.split() if row not in skip else []
         if len(words) < window:
             continue
         own = Windows(words, window, gram)
@@ -194,7 +256,7 @@ def stretches(group: pa.Table, parts: int, window: int, gram: int) -> pa.Table:
     of = order[head][np.cumsum(head) - 1] if len(order) else order
     later = np.zeros(len(order), bool)
     later[order] = ~head & (two[order] == two[of])
-    put(path + ".repeats", [row[later].tobytes(), start[later].tobytes()])
+    put_numbers(path + ".repeats", np.concatenate([row[later], start[later]]))
     row, start, anchor = row[~later], start[~later], anchor[~later]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1])
@@ -255,13 +317,11 @@ def covered(group: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     path = group.column("src")[0].as_py()
     there = lambda name: [np.frombuffer(b, np.int32) for b in group.column(name).to_pylist() if b]
     rows, starts = there("row"), there("start")
-    fs, plain = filesystem(path + ".repeats")
-    if fs.get_file_info(plain).is_file:
-        with open_file(path + ".repeats") as source:
-            own = np.frombuffer(source.read(), np.int32)
-        rows.append(own[: len(own) // 2])
-        starts.append(own[len(own) // 2 :])
-    row, start = (np.concatenate(x or [np.zeros(0, np.int32)]) for x in (rows, starts))
+    own = numbers_at(path + ".repeats")
+    rows.append(own[: len(own) // 2])
+    starts.append(own[len(own) // 2 :])
+    copies = set(numbers_at(path + ".gone").tolist())
+    row, start = (np.concatenate(x) for x in (rows, starts))
     order = np.argsort(row, kind="stable")
     row, start = row[order], start[order]
     out: list[tuple] = []
@@ -273,7 +333,9 @@ def covered(group: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
         spans: list[dict[str, int]] = []
         kept = words
         gone = 0
-        if b > a:
+        if k in copies:
+            gone, spans, kept = n, [{"start": 0, "end": n}], []
+        elif b > a:
             change = np.zeros(n + 1, np.int64)
             np.add.at(change, start[a:b], 1)
             np.add.at(change, start[a:b] + window, -1)
@@ -308,11 +370,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
     parts = max(1, int(total // bucket_bytes))
     wide = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = work_dir(spark, "buckets")
-    anchors = stored(scan(rows, path, parts, window, gram, bucket_bytes), "anchors")
+    heads = stored(scan(rows, path, parts, window, bucket_bytes), "heads")
+    every = heads.select("src").distinct()
+    copies = heads.repartition(parts, "part").groupBy("part").applyInArrow(earlier_copies, "src string, rows binary")
+
+    def anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for src, told in zip(*(c.to_pylist() for c in batch.columns)):
+                yield anchor_bucket(src, told, parts, window, gram)
+
+    # Lists of a bucket have at most one entry a part, about its own texts.
+    named = copies.unionByName(every.select("src", F.lit(None).cast("binary").alias("rows"))).repartition(wide, "src").groupBy("src").agg(F.collect_list("rows").alias("rows"))
+    anchors = stored(map_arrow(named, anchored, _ANCHORS), "anchors")
     told = anchors.repartition(parts, "part").groupBy("part").applyInArrow(repeated_anchors, "src string, anchors binary")
     moved = told.repartition(wide, "src").groupBy("src").applyInArrow(lambda t: stretches(t, parts, window, gram), _STRETCH)
     shards = moved.repartition(wide, "part").groupBy("part").applyInArrow(lambda t: repeated_windows(t, window), "src string, row binary, start binary")
-    every = anchors.select("src").distinct().select("src", F.lit(None).cast("binary").alias("row"), F.lit(None).cast("binary").alias("start"))
+    none = every.select("src", F.lit(None).cast("binary").alias("row"), F.lit(None).cast("binary").alias("start"))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,8 +393,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
                 pairs = {"src": [path] * max(1, len(row)), "row": row or [None], "start": start or [None]}
                 yield from covered(pa.table(pairs, schema=pa.schema([("src", pa.string()), ("row", pa.binary()), ("start", pa.binary())])), window)
 
-    # The list of a bucket has at most one entry a shard, and its repeats are those of its own texts.
-    replies = stored(shards, "repeats").unionByName(every).repartition(wide, "src").groupBy("src").agg(F.collect_list("row").alias("row"), F.collect_list("start").alias("start"))
+    replies = stored(shards, "repeats").unionByName(none).repartition(wide, "src").groupBy("src").agg(F.collect_list("row").alias("row"), F.collect_list("start").alias("start"))
     return map_arrow(replies, finish, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
 
 
