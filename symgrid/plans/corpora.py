@@ -22,18 +22,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, line, content, words, top): lines from 1 on; top is the first word of the first line."""
     cut = files(spark, sf_dir).select("path", F.split("text", "\n", -1).alias("rows"))
-    top = F.try_element_at(F.regexp_extract_all(F.col("rows")[0], F.lit(f"({X.WORD})"), F.lit(1)), F.lit(1))
+    top = F.nullif(F.regexp_extract(F.col("rows")[0], f"({X.WORD})", 1), F.lit(""))
     each = cut.select("path", top.alias("top"), F.posexplode("rows").alias("pos", "content"))
     return each.select("path", (F.col("pos") + 1).alias("line"), "content", F.regexp_extract_all("content", F.lit(f"({X.WORD})"), F.lit(1)).alias("words"), "top")
 
 
 def defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of every line as a definition."""
-    word = F.col("words")[0]
+    word = F.regexp_extract("content", f"({X.WORD})", 1)  # the first match alone: the others needn't be looked for
     size = F.char_length(word)
     name = F.when((F.col("line") % 3 == 0) & F.col("top").isNotNull(), F.concat("top", F.lit("."), word)).otherwise(word)
     kind = F.when(size % 4 == 0, "class").when(size % 4 == 1, "function").when(size % 4 == 2, "method").otherwise("constant")
-    found = lines(spark, sf_dir).where(F.size("words") > 0)
+    found = lines(spark, sf_dir).where(F.col("content").rlike(X.WORD))
     signature = F.substring(F.trim("content"), 1, 40)
     # One definition a line: the key (path, name, line, kind) is distinct as it stands.
     return found.select("path", name.alias("name"), kind.alias("kind"), "line", F.col("line").alias("end_line"), signature.alias("signature"), F.lit("").alias("doc"), (size % 3 != 0).alias("exported"))
