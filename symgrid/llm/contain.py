@@ -184,3 +184,15 @@ def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, contain
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair of at least 0.8 containment."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+dx AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM dw),
+ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, n, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM dx) WHERE i + 4 <= n),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+ix AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM iw),
+bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, n, i, string_agg(w, ' ') OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM ix) WHERE i + 4 <= n),
+bn AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM ds JOIN bs USING (s) JOIN bn USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item
+"""

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from symgrid.llm.bytecnn import op3_quality_classifier
-from symgrid.llm.contain import op6_benchmark_decontamination
+from symgrid.llm.contain import OP6_SQL, op6_benchmark_decontamination
 from symgrid.llm.packing import op9_best_fit_packing
-from symgrid.llm.secrets import op7_secret_scans
+from symgrid.llm.secrets import OP7_SQL, op7_secret_scans
 from symgrid.llm.simhash import op2_simhash_near_dedup
 from symgrid.llm.sitetree import op1_html_extraction
-from symgrid.llm.substring import op10_substring_dedup
+from symgrid.llm.substring import OP10_SQL, op10_substring_dedup
 from symgrid.llm.tokenfile import op5_token_id_files
-from symgrid.llm.topk import op8_exact_topk_search
+from symgrid.llm.topk import OP8_SQL, op8_exact_topk_search
 from symgrid.llm.urlfilter import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,4 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_url_filters": OP4_SQL,
+    "op6_benchmark_decontamination": OP6_SQL,
+    "op7_secret_scans": OP7_SQL,
+    "op8_exact_topk_search": OP8_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }

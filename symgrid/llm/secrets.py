@@ -141,3 +141,23 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of every document."""
     found = secret_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _duck(kind: int, pattern: str, keep: str) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, {kind} AS k, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0) AS BIGINT) AS s, ms[i] AS v"
+        f" FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {quoted}) AS ms, string_split_regex(t, {quoted}) AS ps FROM d)) WHERE {keep.replace('PATTERN', quoted).replace('v', 'ms[i]')}"
+    )
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_duck(0, ASSIGN, "length(regexp_extract(v, PATTERN, 2)) >= 12")} UNION ALL {_duck(1, ACCESS, "length(v) >= 18")} UNION ALL {_duck(2, HEX, "length(v) >= 16")}),
+weak AS ({_duck(3, SECRET, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND length(v) <= 130")} UNION ALL {_duck(4, ENDPOINT, "true")}),
+linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM base a WHERE a.doc_id = w.doc_id AND (a.k = 1 OR a.k = 0 AND w.k = 4)
+  AND a.s - (w.s + length(w.v)) <= {REACH} AND w.s - (a.s + length(a.v)) <= {REACH} AND NOT (a.s <= w.s AND w.s + length(w.v) <= a.s + length(a.v)))),
+named AS (SELECT doc_id, k, s, k < 3 AS is_base, ['assign', 'access', 'hex', 'secret', 'endpoint'][k + 1] || ':' || s || ':' || (s + length(v)) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM linked)),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(n, ',' ORDER BY s, k) FILTER (is_base) AS base, string_agg(n, ',' ORDER BY s, k) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -164,3 +164,11 @@ def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndar
 def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of every fiftieth vector."""
     return top_products(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
