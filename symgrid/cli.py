@@ -43,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
         if name == "find":
             c.add_argument("--limit", type=int, default=D.FIND_LIMIT)
             c.add_argument("--all", action="store_true")
+    t = sub.add_parser("tasks")
+    t.add_argument("folder")
+    t.add_argument("--repo")
+    t.add_argument("--category", default="")
+    sub.add_parser("context").add_argument("--budget", type=int, default=2000)
     r = sub.add_parser("report")
     r.add_argument("results")
     r.add_argument("--json", action="store_true")
@@ -81,6 +86,21 @@ def main(argv: list[str] | None = None) -> int:
         return 2
 
 
+def context(files: DataFrame, defs: DataFrame, text: DataFrame, budget: int) -> DataFrame:
+    """One row: what showing one definition of each name costs against its file, and a map against everything.
+
+    A file that can't be read any more is left out rather than counted as free.
+    """
+    cut = F.split("text", "\n")
+    first = E.first_of_each_name(defs).join(text, "path")
+    span = F.array_join(F.slice(cut, F.col("line"), F.greatest(F.least("end_line", F.size(cut)) - F.col("line") + 1, F.lit(0))), "\n")
+    probed = E.probe(first.select("name", D.X.token_count(span).alias("show_tokens"), D.X.token_count("text").alias("file_tokens")))
+    chosen = D.mapped(files, defs, budget)
+    spent = chosen.agg(F.coalesce(F.max("used") + F.max(F.when(F.col("truncated"), D.MARKER_COST + 1).otherwise(0)), F.lit(0)).alias("map_tokens"))
+    whole = text.agg(F.coalesce(F.sum(D.X.token_count("text")), F.lit(0)).alias("repo_tokens"), F.count("*").alias("files"))
+    return E.probe_summary(probed).crossJoin(spent).crossJoin(whole)  # one row each
+
+
 def _show(rows: DataFrame) -> None:
     for row in rows.toJSON().toLocalIterator():
         print(json.dumps(json.loads(row), sort_keys=True))
@@ -96,6 +116,12 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         for block in (E.headline(tasks), E.arms_block(runs), E.by_category(tasks), E.integrity(runs), E.prompt_overhead(runs), tasks):
             _show(block)
         return 0
+    if args.command == "tasks":
+        from symgrid.sources.records import load_tasks
+
+        for row in load_tasks(spark, args.folder, args.repo, args.category).toLocalIterator():
+            print(f"{row['id']:<32} {row['repo']:<12} {row['category']}  {row['grade']['kind']}")
+        return 0
     home = os.path.join(args.root, store.HOME)
     if args.command == "index":
         prior = store.load(spark, home)
@@ -106,8 +132,12 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         store.save(index, home)
         print(f"indexed {args.root}: {counts.get('parse', 0)} parsed, {counts.get('reuse', 0)} reused, {counts.get('drop', 0)} dropped")
         return 0
-    index = acquire(spark, args.root, args.refresh)
+    index = acquire(spark, args.root, getattr(args, "refresh", False))
     files, defs, refs = index.files, index.defs, index.refs
+    if args.command == "context":
+        text = store.listed(spark, args.root).join(files.select("path"), "path", "left_semi").select("path", F.col("content").cast("string").alias("text"))
+        _show(context(files, defs, text, args.budget))
+        return 0
     if args.command == "map":
         chosen = D.mapped(files, defs, args.budget, args.focus or index.focus)
         if args.json:

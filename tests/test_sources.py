@@ -191,6 +191,23 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_live_refresh(spark, tmp_path):
+    inbox, stored = tmp_path / "in", str(tmp_path / "stored")
+    inbox.mkdir()
+    schema = "path string, sha256 string, content binary"
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        for part in (tmp_path / name).glob("*.parquet"):
+            part.rename(inbox / f"{name}.parquet")
+        live.live_refresh(spark.readStream.schema(schema).parquet(str(inbox)), stored, lambda b: parsed_files(b).join(b.select("path", "sha256"), "path"), str(tmp_path / "cp")).awaitTermination(60)
+
+    arrive("one", [("a.py", "1", b"def f(): pass"), ("b.py", "1", b"x = 1")])
+    arrive("two", [("a.py", "2", b"def g(): pass"), ("c.py", "1", b"y = 1")])
+    got = spark.read.parquet(f"{stored}/v2").select("path", F.inline("defs")).collect()
+    assert {(r["path"], r["name"]) for r in got} == {("a.py", "g"), ("b.py", "x"), ("c.py", "y")}
+
+
 def test_command_line(spark, tree, capsys):
     def run(*args):
         code = cli.main(["--root", str(tree), *args])
@@ -204,4 +221,9 @@ def test_command_line(spark, tree, capsys):
     assert "2|     def go(self):" in run("show", "A.go")[1]
     assert "used:" in run("refs", "A")[1] and "a.py (3 loc) python" in run("outline", "a.py")[1]
     assert '"files"' in run("stats", "--json")[1]
+    probe = json.loads(run("context")[1])
+    assert probe["symbols"] == 4 and probe["show_tokens"] <= probe["file_tokens"] and probe["map_tokens"] <= 2000
+    (tree / "suite").mkdir()
+    (tree / "suite" / "t.json").write_text(json.dumps({"id": "t1", "repo": "r", "category": "a", "prompt": "p", "grade": {"kind": "localization", "expect_files": ["x"]}}))
+    assert run("tasks", str(tree / "suite"))[1].split() == ["t1", "r", "A", "localization"]
     assert cli.main(["--root", str(tree / "nowhere"), "map"]) == 2
