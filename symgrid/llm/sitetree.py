@@ -8,7 +8,8 @@ pages: with m distinct pages,
 
 where H is entropy to the base m, l the number of different child sequences and g = 0.9. Nodes
 below :data:`NOISE` on :data:`PAGES` or more distinct pages are navigation, notices and the
-like, and their branches are cut from every page. Elements whose tag, role, class or id says
+like, if the entropy of their own text and all style nodes below them are so too: their branches
+are cut from every page. Elements whose tag, role, class or id says
 what they are go in any case, so a host with a single page is cleaned too. The article itself
 and its paragraphs are never cut by their importance.
 """
@@ -202,45 +203,69 @@ def main_text(html: str | None, noise: frozenset[int] = frozenset()) -> str:
     return text or "\n".join(b for body in bodies for b in _blocks(body, frozenset()))
 
 
-def style_nodes(html: str) -> tuple[int, list[tuple[int, int, int]]]:
-    """Hash of a page's content, and (path, hash of child sequence, hash of content) of every style node."""
+def style_nodes(html: str) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Hash of a page's content, and of every style node (path, path of the style node above or 0, hash of child
+    sequence, hash of content, hash of its own text). What is in dropped elements is content, but no style node.
+    """
     root = parsed(html)
-    order: list[Node] = []
-    todo = [root]
+    order: list[tuple[Node, int | None]] = []
+    todo: list[tuple[Node, int | None]] = [(root, 0)]
     while todo:
-        node = todo.pop()
-        order.append(node)
-        todo.extend(c for c in node.children if type(c) is Node)
+        node, up = todo.pop()
+        order.append((node, up))
+        below = None if node.drop else up if node.tag in _INLINE or up is None else node.path
+        todo.extend((c, below) for c in node.children if type(c) is Node)
     content: dict[int, bytes] = {}
-    merged: dict[int, tuple[list[bytes], list[bytes]]] = {}
-    for node in reversed(order):  # children before parents
+    inline: dict[int, bytes] = {}  # the text of inline elements belongs to the style node around them
+    merged: dict[int, tuple[int, list[bytes], list[bytes], list[bytes]]] = {}
+    for node, up in reversed(order):  # children before parents
         words: list[bytes] = []
         look: list[bytes] = []
+        text: list[bytes] = []
         for child in node.children:
             if type(child) is str:
                 words.append(" ".join(child.split()).encode("utf-8", "replace"))
+                text.append(words[-1])
             else:
                 words.append(content[id(child)])
                 kind = child.path.to_bytes(8, "little")
                 if child.tag not in _INLINE and (not look or look[-1] != kind):
                     look.append(kind)
+                elif child.tag in _INLINE and not child.drop:
+                    text.append(inline[id(child)])
         content[id(node)] = xxhash.xxh64_digest(b"\0".join(words))
-        if node.tag not in _INLINE and node.tag and not node.drop:
-            own = merged.setdefault(node.path, ([], []))
-            own[0].append(b"".join(look))
-            own[1].append(content[id(node)])
+        said = b"\0".join(filter(None, text))
+        if node.tag in _INLINE:
+            inline[id(node)] = said
+        elif node.tag and not node.drop and up is not None:
+            own = merged.setdefault(node.path, (up, [], [], []))
+            own[1].append(b"".join(look))
+            own[2].append(content[id(node)])
+            if said:
+                own[3].append(said)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     digest = lambda x: signed(xxhash.xxh64_intdigest(b"|".join(x)))
-    return signed(int.from_bytes(content[id(root)], "little")), [(signed(p), digest(a), digest(b)) for p, (a, b) in merged.items()]
+    return signed(int.from_bytes(content[id(root)], "little")), [(signed(p), signed(up), digest(a), digest(b), digest(c)) for p, (up, a, b, c) in merged.items()]
+
+
+def _without_holders(nodes: list[dict]) -> list[int]:
+    """The low nodes of a site but those above one that isn't low."""
+    up = {x["node"]: x["up"] for x in nodes}
+    for x in nodes:
+        node = x["node"] if x["held"] else None
+        while node in up:
+            node = up.pop(node)
+    return list(up)
 
 
 def noise_nodes(pages: DataFrame, least: int = PAGES, noise: float = NOISE) -> DataFrame:
-    """(site, nodes): the style nodes of low importance of each site; ``pages`` has site and html.
+    """(site, nodes): the style nodes of each site that are of low importance with all that is below them; ``pages``
+    has site and html.
 
     Equal pages of a site count once. Counts are combined before each shuffle, so a host with a
     third of all pages is many small partial counts.
     """
-    schema = pa.schema([("site", pa.string()), ("page", pa.int64()), ("node", pa.int64()), ("look", pa.int64()), ("content", pa.int64())])
+    schema = pa.schema([("site", pa.string()), *((c, pa.int64()) for c in ("page", "node", "up", "look", "content", "own"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
@@ -248,20 +273,31 @@ def noise_nodes(pages: DataFrame, least: int = PAGES, noise: float = NOISE) -> D
             for site, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 page, nodes = style_nodes(html)
                 rows += [(site, page, *x) for x in nodes]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, schema.types)], schema=schema)
 
-    rows = map_arrow(pages.where("site is not null and html is not null").select("site", "html"), run, "site string, page long, node long, look long, content long")
+    rows = map_arrow(pages.where("site is not null and html is not null").select("site", "html"), run, "site string, page long, node long, up long, look long, content long, own long")
     # Of equal pages of a site one stays; which one makes no difference.
-    each = rows.groupBy("site", "page", "node").agg(F.first("look").alias("look"), F.first("content").alias("content"))
+    each = rows.groupBy("site", "page", "node").agg(*(F.first(c).alias(c) for c in ("up", "look", "content", "own")))
     log = F.col("n") * F.log("n")
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))
-    counts = each.select("site", "node", F.explode(both).alias("x")).groupBy("site", "node", "x").agg(F.count("*").alias("n"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("look", "content", "own"))))
+    # A path has one path above it.
+    counts = each.select("site", "node", "up", F.explode(kinds).alias("x")).groupBy("site", "node", "x").agg(F.count("*").alias("n"), F.first("up").alias("up"))
     kind = lambda k, x: F.sum(F.when(F.col("x.kind") == k, x).otherwise(0))
-    nodes = counts.groupBy("site", "node").agg(kind(0, F.col("n")).alias("m"), kind(0, log).alias("look"), kind(1, log).alias("content"), kind(0, F.lit(1)).alias("l"))
-    entropy = lambda c: 1 - F.col(c) / (F.col("m") * F.log("m"))
+    nodes = counts.groupBy("site", "node").agg(F.first("up").alias("up"), kind(0, F.col("n")).alias("m"), kind(0, log).alias("look"), kind(1, log).alias("content"), kind(2, log).alias("own"), kind(0, F.lit(1)).alias("l"))
+    entropy = lambda c: 1 - F.col(c) / F.nullif(F.col("m") * F.log("m"), F.lit(0.0))
     share = F.pow(F.lit(DECAY), F.col("l"))
-    low = nodes.where(F.col("m") >= least).where((1 - share) * entropy("look") + share * entropy("content") < noise)
-    return low.groupBy("site").agg(F.collect_list("node").alias("nodes"))
+    low = F.coalesce((F.col("m") >= least) & ((1 - share) * entropy("look") + share * entropy("content") < noise) & (entropy("own") < noise), F.lit(False))
+    # A low node is listed with the node above it, any other one holds the node above it.
+    listed = F.struct(F.col("node"), F.col("up"), F.lit(False).alias("held"))
+    holds = F.struct(F.col("up").alias("node"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("held"))
+    marks = nodes.select("site", F.when(low, listed).otherwise(holds).alias("x")).groupBy("site", "x.node").agg(F.max("x.up").alias("up"), F.max("x.held").alias("held"))
+    lows = marks.where("up is not null").groupBy("site").agg(F.collect_list(F.struct("node", "up", "held")).alias("nodes"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_without_holders, part.column(1).to_pylist()), pa.list_(pa.int64()))], names=["site", "nodes"])
+
+    return map_arrow(lows, cut, "site string, nodes array<long>")
 
 
 def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -100,6 +100,20 @@ def test_site_tree_cuts_what_all_pages_share(spark):
     assert sitetree.extracted(same.limit(0)).count() == 0
 
 
+def test_site_tree_keeps_nodes_with_important_ones_below(spark):
+    """1,200 distinct pages, 3 % of them in 30 rare layouts: the wrapper and two nodes in it are of low importance."""
+
+    def page(i):
+        rare = f"<div class=rare{i // 40}>Rare</div>" if i % 40 == 0 else ""
+        return f"<html><body><article><h1>Title {i}</h1><div class=entry-content><div class=top>Welcome</div><div class=inner>{rare}<p>Story {i}</p></div><div class=said>{rare}Own <b>word {i}</b></div></div><div class=legal>All <i>rights</i></div></article></body></html>"
+
+    rows = [(i, "http://h.example/a", page(i)) for i in range(1200)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(1200):
+        rare = "Rare\n" if i % 40 == 0 else ""
+        assert got[i] == f"Title {i}\n{rare}Story {i}\n{rare}Own word {i}"
+
+
 # 2 ------------------------------------------------------------------------------------------
 
 
