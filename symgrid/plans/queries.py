@@ -417,6 +417,13 @@ def edit_once(spark: SparkSession, d: str) -> DataFrame:
     return E.edited(files, files.select("path", F.lit(" the ").alias("find"), F.lit(" THE ").alias("replace"))).select("path", "text", F.coalesce("error", F.lit("")).alias("error"))
 
 
+@query
+def edit_once_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A unique-match replacement in the whole text of every file."""
+    files = C.files(spark, d).select("path", "text")
+    return E.edited(files, files.select("path", F.lit(" the ").alias("find"), F.lit(" THE ").alias("replace"))).select("path", "text", F.coalesce("error", F.lit("")).alias("error"))
+
+
 @query
 def parse_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Documents taken for Python files: most don't parse, which the scanner has to bear."""
