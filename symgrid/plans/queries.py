@@ -78,6 +78,12 @@ def text_forms(spark: SparkSession, d: str) -> DataFrame:
     return own.select("path", X.shortened(X.collapsed("content"), 60).alias("short"), X.clipped("content", 50).alias("clipped"), X.tidied(F.concat(F.lit("f( "), F.substring("content", 1, 30), F.lit(", )"))).alias("tidied"), F.octet_length(X.byte_capped("content", 25)).alias("capped_bytes"))
 
 
+@query
+def text_forms_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Collapsed, tidied, shortened and clipped forms of every line."""
+    return C.lines(spark, d).select("path", "line", X.shortened(X.collapsed("content"), 60).alias("short"), X.clipped("content", 50).alias("clipped"), X.tidied("content").alias("tidied"), F.octet_length(X.byte_capped("content", 25)).alias("capped_bytes"))
+
+
 @query
 def symbol_priority(spark: SparkSession, d: str) -> DataFrame:
     return C.defs(spark, d).groupBy("kind", "exported").agg(F.max(X.priority("kind", "exported")).alias("priority"), F.count("*").alias("n"))
