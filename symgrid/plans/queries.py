@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgrid.functions import text as X
@@ -265,6 +265,15 @@ def fit_lines(spark: SparkSession, d: str) -> DataFrame:
     return D.fitted(lines, 300).select("content", F.when(F.col("is_marker"), -1).otherwise(F.col("pos")).alias("pos"), "is_marker")
 
 
+@query
+def fit_lines_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all files in the order of path and line, as far as they fit."""
+    # A text that sorts as (path, line) does: only the lines that fit, of which there are few, are numbered.
+    lines = C.lines(spark, d).select("path", "line", "content", F.concat("path", F.lit("\0"), F.lpad(F.col("line").cast("string"), 10, "0")).alias("pos"))
+    number = F.row_number().over(Window.orderBy("is_marker", "pos"))
+    return D.fitted(lines, 300).select("path", "line", "content", F.when(F.col("is_marker"), -1).otherwise(number).alias("pos"), "is_marker")
+
+
 @query
 def stats_totals(spark: SparkSession, d: str) -> DataFrame:
     return D.stats(C.files(spark, d), C.defs(spark, d))
