@@ -362,7 +362,7 @@ def subcommands(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     s = E.task_summaries(C.runs(spark, d)).where("not censored")
-    return E.bootstrap_by(s, "category", "reduction", "task_id", iterations=1000)
+    return E.bootstrap_by(s, "category", "reduction", "task_id")
 
 
 @query
