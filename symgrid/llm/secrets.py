@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Base kinds (assign, access, hex) are reported wherever they match. Two kinds are too weak
-alone: ``secret``, a run of 32 to 128 base64 characters with a digit and letters of both cases,
-and ``endpoint``, a URL or host with port. They are parts of a credential and are reported only
+alone: ``secret``, a run of 32 or more base64 characters with a digit and letters of both cases,
+and ``endpoint``, a URL or dotted host with port. They are parts of a credential and are reported only
 when a complementary part lies within :data:`REACH` code points: a secret needs an access
 identifier, an endpoint needs an access identifier or an assignment. Parts are joined as
 intervals, by buckets of their position, so neither a long text nor one full of parts costs
@@ -24,7 +24,13 @@ HEX = r"[0-9a-f]+"
 #: Runs as the base patterns find them that are long enough: nothing shorter can match, and a longer pattern scans faster.
 HEX_LONG, ACCESS_LONG = r"[0-9a-f]{16,}", r"AKIA[A-Z0-9]{14,}"
 SECRET = r"[A-Za-z0-9+/]{32,}={0,2}"
-ENDPOINT = r"https?://[A-Za-z0-9.:/_%?&=#~@+-]{4,}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}"
+_URL = r"https?://[A-Za-z0-9.:/_%?&=#~@+-]{4,}"
+#: A host is one run of a character class, tried only where a run begins or the last match ended, and never given back: a
+#: repeated group of labels would recurse in Java's matcher once a label, and a start at every letter is quadratic.
+ENDPOINT = _URL + r"|(?:\G|(?<![A-Za-z0-9.-]))[A-Za-z0-9.-]++:[0-9]{2,5}"
+#: The same for automata, which need no such care.
+ENDPOINT_PLAIN = _URL + r"|[A-Za-z0-9.-]+:[0-9]{2,5}"
+_DOTTED = r"^https?://|[A-Za-z0-9-][.][A-Za-z0-9-]"
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 _BLOCK = 64
@@ -59,7 +65,7 @@ def listed(spans: Column) -> Column:
 def scan(docs: DataFrame, *keep: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, key, spans of each kind) of every row, and its columns ``keep``; key stands for the text."""
     assign = f"char_length(regexp_extract(m, r'{ASSIGN.replace(chr(39), chr(92) + 'x27')}', 2)) >= 12"
-    mixed = "m rlike '[0-9]' and m rlike '[a-z]' and m rlike '[A-Z]' and char_length(m) <= 130"
+    mixed = "m rlike '[0-9]' and m rlike '[a-z]' and m rlike '[A-Z]'"
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(k for k in keep if k != "text"))
     return rows.select(
         "doc_id",
@@ -70,7 +76,7 @@ def scan(docs: DataFrame, *keep: str, text: str = "text", id: str = "doc_id") ->
         F.expr(spans_sql("text", HEX_LONG, 2)).alias("hex"),
         # Weak parts matter only beside strong ones.
         F.expr(f"if(text rlike r'{ACCESS_LONG}', {spans_sql('text', SECRET, 3, mixed)}, cast(array() as {_SPAN}))").alias("secret"),
-        F.expr(spans_sql("text", ENDPOINT, 4)).alias("endpoint"),
+        F.expr(spans_sql("text", ENDPOINT, 4, f"m rlike '{_DOTTED}'")).alias("endpoint"),
     )
 
 
@@ -101,8 +107,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH, text:
     null text stays null. Weak parts are joined by (doc_id, text), so equal rows are treated alike.
     """
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = scan(inner)
-    extra = stored(linked(parts.select("doc_id", "key", *KINDS), reach), "secret-links")
+    # Weak parts need a strong one: only texts with one are scanned for links.
+    strong = inner.where(F.col("text").rlike(ACCESS_LONG) | F.col("text").rlike(ASSIGN))
+    extra = stored(linked(scan(strong), reach), "secret-links")
     few = F.broadcast(extra) if small(extra, BROADCAST_LINKS) else extra
     rows = scan(inner, "_row", "text").alias("f").join(few.alias("x"), F.expr("f.doc_id <=> x.doc_id and f.key = x.key"), "left")
     every = rows.select("f._row", "f.text", F.array_sort(F.concat("assign", "access", "hex", F.coalesce("extra", F.expr(f"cast(array() as {_SPAN})")))).alias("z"))
@@ -147,14 +154,14 @@ def _duck(kind: int, pattern: str, keep: str) -> str:
     quoted = "'" + pattern.replace("'", "''") + "'"
     return (
         f"SELECT doc_id, {kind} AS k, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0) AS BIGINT) AS s, ms[i] AS v"
-        f" FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {quoted}) AS ms, string_split_regex(t, {quoted}) AS ps FROM d)) WHERE {keep.replace('PATTERN', quoted).replace('v', 'ms[i]')}"
+        f" FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {quoted}) AS ms, string_split_regex(t, {quoted}) AS ps FROM d)) WHERE {keep.replace('PATTERN', quoted).replace('v,', 'ms[i],').replace('(v)', '(ms[i])')}"
     )
 
 
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_duck(0, ASSIGN, "length(regexp_extract(v, PATTERN, 2)) >= 12")} UNION ALL {_duck(1, ACCESS, "length(v) >= 18")} UNION ALL {_duck(2, HEX, "length(v) >= 16")}),
-weak AS ({_duck(3, SECRET, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND length(v) <= 130")} UNION ALL {_duck(4, ENDPOINT, "true")}),
+weak AS ({_duck(3, SECRET, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')")} UNION ALL {_duck(4, ENDPOINT_PLAIN, f"regexp_matches(v, '{_DOTTED}')")}),
 linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM base a WHERE a.doc_id = w.doc_id AND (a.k = 1 OR a.k = 0 AND w.k = 4)
   AND a.s - (w.s + length(w.v)) <= {REACH} AND w.s - (a.s + length(a.v)) <= {REACH} AND NOT (a.s <= w.s AND w.s + length(w.v) <= a.s + length(a.v)))),
 named AS (SELECT doc_id, k, s, k < 3 AS is_base, ['assign', 'access', 'hex', 'secret', 'endpoint'][k + 1] || ':' || s || ':' || (s + length(v)) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM linked)),
