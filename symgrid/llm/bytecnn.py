@@ -4,11 +4,14 @@ Bytes have learned embeddings; learned filters of :data:`WIDTH` bytes run over e
 of a text. Their rectified outputs are max-pooled over overlapping chunks of two hops that
 cover the whole text, a small layer rates each chunk, and mean and maximum over all chunks are
 combined into one probability. Filters and embeddings multiply out to one row of a table for
-each (offset, byte), so a convolution is a few table look-ups.
+each (offset, byte), so a convolution is a few table look-ups. A text's score is made of sums in
+an order of its own, never of products of whole batches: it is the same bit for bit whatever
+texts are scored with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,8 @@ WIDTH, FILTERS, EMBEDDED, HIDDEN, HOP = 8, 16, 8, 16, 256
 ROW = HOP + WIDTH - 1
 #: Labelled rows a model is fitted on, at most: those with the smallest hash of their doc_id.
 SAMPLE = 3000
+#: UTF-8 bytes of one text, and of all texts, that a model is fitted on, at most; longer ones are scored like any other.
+TEXT_BYTES, SAMPLE_BYTES = 1 << 20, 64 << 20
 EPOCHS, BATCH, RATE = 14, 32, 0.012
 #: Batches a model sees at least: small samples go round more often.
 STEPS = 400
@@ -30,6 +35,14 @@ THRESHOLD = 0.3
 _BLOCK = 128
 
 
+def product(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``rows @ weights`` in double precision, summed over the columns from left to right in every row."""
+    out = np.zeros((len(rows), *weights.shape[1:]))
+    for k, w in enumerate(weights.astype(float)):
+        out += rows[:, k].astype(float).reshape(-1, *[1] * w.ndim) * w
+    return out
+
+
 class Model:
     """Parameters, scores and training."""
 
@@ -49,7 +62,7 @@ class Model:
 
     def tables(self) -> np.ndarray:
         """Contribution of each byte at each offset of a filter, (offset, byte, filter)."""
-        return np.einsum("be,kef->kbf", self.p["embed"], self.p["filter"]).astype(np.float32)
+        return np.matmul(self.p["embed"], self.p["filter"]).astype(np.float32)
 
     @staticmethod
     def laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +95,10 @@ class Model:
                 total[:n] += part[:n]
             cube = total[:n].reshape(-1, HOP, FILTERS)
             if at is None:
-                top[a : a + len(cube)] = cube.max(1)
+                while cube.shape[1] > 1:  # halves, since a reduction along a middle axis is slow
+                    half = cube.shape[1] // 2
+                    cube = np.maximum(cube[:, :half], cube[:, half:])
+                top[a : a + len(cube)] = cube[:, 0]
             else:
                 own = cube.argmax(1)
                 top[a : a + len(cube)] = np.take_along_axis(cube, own[:, None], 1)[:, 0]
@@ -97,55 +113,54 @@ class Model:
         nxt = np.minimum(np.arange(len(top)) + 1, np.repeat(first[1:] - 1, np.diff(first)))
         later = hop[nxt] > hop
         chunk = np.where(later, hop[nxt], hop)
-        inner = chunk @ p["chunk"] + p["chunk_bias"]
+        inner = product(chunk, p["chunk"]) + p["chunk_bias"]
         rated = np.maximum(inner, 0)
         mean = np.add.reduceat(rated, first[:-1]) / np.diff(first)[:, None]
         most = np.maximum.reduceat(rated, first[:-1])
-        logit = mean @ p["mean"] + most @ p["max"] + p["out"]
+        logit = product(mean, p["mean"]) + product(most, p["max"]) + p["out"]
         return {"hop": hop, "next": nxt, "later": later, "chunk": chunk, "inner": inner, "rated": rated, "mean": mean, "most": most, "logit": logit}
 
     def scores(self, texts: list[bytes], tables: np.ndarray | None = None) -> np.ndarray:
         """Probability of label 1 for each text."""
         data, first = self.laid(texts)
         top, _ = self.pooled(data, self.tables() if tables is None else tables, False)
-        return 1 / (1 + np.exp(-self.forward(first, top)["logit"].astype(float)))
+        return np.array([1 / (1 + math.exp(-min(700.0, max(-700.0, x)))) for x in self.forward(first, top)["logit"].tolist()])
 
-    def step(self, texts: list[bytes], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients of a batch."""
-        p, (data, first) = self.p, self.laid(texts)
+    def step(self, data: np.ndarray, first: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients of a batch of texts as :meth:`laid` out."""
+        p = self.p
         tables = self.tables()
         top, at = self.pooled(data, tables, True)
         f = self.forward(first, top)
         y = 1 / (1 + np.exp(-f["logit"]))
         loss = float(-np.mean(np.where(labels > 0, np.log(y + 1e-9), np.log(1 - y + 1e-9))))
-        d = ((y - labels) / len(texts)).astype(np.float32)
+        d = ((y - labels) / len(labels)).astype(np.float32)
         g = {"out": d.sum(keepdims=True), "mean": f["mean"].T @ d, "max": f["most"].T @ d}
         sizes = np.diff(first)
         rated = np.repeat(d / sizes, sizes)[:, None] * p["mean"]
-        owner = np.repeat(np.arange(len(texts)), sizes)
+        owner = np.repeat(np.arange(len(labels)), sizes)
         is_most = f["rated"] == f["most"][owner]
         rated += is_most * (d[owner, None] * p["max"]) / np.maximum(1, np.add.reduceat(is_most, first[:-1], dtype=np.float32))[owner]
         inner = rated * (f["inner"] > 0)
         g |= {"chunk": f["chunk"].T @ inner, "chunk_bias": inner.sum(0)}
         chunk = inner @ p["chunk"].T
         hop = np.where(f["later"], 0, chunk)
-        np.add.at(hop, f["next"], np.where(f["later"], chunk, 0))
+        hop[1:] += np.where(f["later"], chunk, 0)[:-1]  # a later hop is the next row
         hop *= f["hop"] > 0
         g["bias"] = hop.sum(0)
-        table = np.zeros((WIDTH, 256, FILTERS), np.float32)
-        filters, flat = np.broadcast_to(np.arange(FILTERS), at.shape), data.ravel()
-        for k in range(WIDTH):
-            np.add.at(table[k], (flat[at + k], filters), hop)
-        g["embed"] = np.einsum("kbf,kef->be", table, p["filter"])
-        g["filter"] = np.einsum("kbf,be->kef", table, p["embed"])
+        filters, flat, weights = np.arange(FILTERS), data.ravel(), hop.ravel()
+        table = np.stack([np.bincount((flat[at + k].astype(np.int64) * FILTERS + filters).ravel(), weights, 256 * FILTERS).reshape(256, FILTERS) for k in range(WIDTH)])
+        g["embed"] = np.matmul(table, p["filter"].transpose(0, 2, 1)).sum(0)
+        g["filter"] = np.matmul(p["embed"].T, table)
         return loss, g
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 5) -> Model:
-        """Adam over batches of texts of like length, in an order fixed by the seed."""
+        """Adam over batches in random orders fixed by the seed."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         t, order = 0, np.arange(len(texts))
+        data, first = self.laid(texts)
         batches = -(-len(texts) // batch)
         epochs = max(epochs, -(-STEPS // batches))
         total = epochs * batches
@@ -153,7 +168,9 @@ class Model:
             r.shuffle(order)
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
-                _, g = self.step([texts[i] for i in rows], labels[rows])
+                sizes = first[rows + 1] - first[rows]
+                own = np.concatenate([[0], np.cumsum(sizes)])
+                _, g = self.step(data[np.repeat(first[rows] - own[:-1], sizes) + np.arange(own[-1])], own, labels[rows])
                 t += 1
                 now = rate * min(1.0, t / 50) * (1 - 0.9 * t / total)
                 for k, x in g.items():
@@ -172,13 +189,18 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
     """A model fitted on at most ``sample`` labelled rows that aren't held out; None if there are none.
 
     Rows are those with the smallest hash of their doc_id, so they don't depend on how tables
-    are partitioned. A row without text or label isn't learned from; of repeated rows each counts.
+    are partitioned; texts above :data:`TEXT_BYTES` aren't among them, and the first
+    :data:`SAMPLE_BYTES` of texts are taken. A row without text or label isn't learned from; of
+    repeated rows each counts.
     """
     marked = labels.select(F.col(id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out())
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    # The bound applies before the texts move: only chosen ids are joined.
-    chosen = marked.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    got = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
+    # The bounds apply before the texts move: only chosen ids, with the bytes of their texts, come first.
+    sizes = rows.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"))
+    chosen = marked.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).collect()
+    total = np.cumsum([r["bytes"] for r in chosen])
+    few = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r, t in zip(chosen, total) if t <= SAMPLE_BYTES], "doc_id long, y int")
+    got = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     if not got:
         return None
     return Model().fit([r.text.encode() for r in got], np.array([r.y > 0 for r in got], np.float32))
@@ -188,7 +210,8 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     """Every column of ``docs`` and ``name``, the probability of label 1 of the whole text.
 
     Null and empty texts are one chunk of zeros and get a score like any other; without a model
-    every score is 0.5; repeated rows score alike; an empty table gives an empty result.
+    every score is 0.5; equal texts score alike, bit for bit, wherever they are; a column ``name``
+    is replaced, all others may have any name; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model, model.tables()))
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != name), T.StructField(name, T.DoubleType())])

@@ -208,15 +208,16 @@ def test_gradients_are_right():
     model = bytecnn.Model()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     texts, y = [bytes(r.integers(32, 120, n, np.uint8)) for n in (40, 300, 900)], np.array([1.0, 0, 1])
-    model.tables = lambda: np.einsum("be,kef->kbf", model.p["embed"], model.p["filter"])
-    _, g = model.step(texts, y)
+    model.tables = lambda: np.matmul(model.p["embed"], model.p["filter"])
+    laid = model.laid(texts)
+    _, g = model.step(*laid, y)
     for name in ("chunk", "mean", "max", "out", "bias"):
         at = tuple(0 for _ in model.p[name].shape)
         old, e = model.p[name][at], 1e-3
         model.p[name][at] = old + e
-        up, _ = model.step(texts, y)
+        up, _ = model.step(*laid, y)
         model.p[name][at] = old - e
-        down, _ = model.step(texts, y)
+        down, _ = model.step(*laid, y)
         model.p[name][at] = old
         assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=0.1, abs=2e-4), name
 
@@ -232,7 +233,42 @@ def test_classifier_odd(spark, odd):
     assert bytecnn.scored(odd.limit(0), model).count() == 0
     one = bytecnn.Model()
     alone = [one.scores([t])[0] for t in (b"ab" * 700, b"", b"x" * 256, b"y" * 257)]
-    assert one.scores([b"ab" * 700, b"", b"x" * 256, b"y" * 257]) == pytest.approx(alone, abs=1e-6)
+    assert one.scores([b"ab" * 700, b"", b"x" * 256, b"y" * 257]).tolist() == alone
+
+
+def naive_score(p, text):
+    """The network byte by byte."""
+    import math
+
+    w, hop, n = bytecnn.WIDTH, bytecnn.HOP, len(p["bias"])
+    data = text + bytes(-len(text) % hop or (0 if text else hop)) + bytes(w - 1)
+    tops = []
+    for at in range(0, len(data) - w + 1, hop):
+        sums = [[sum(float(p["embed"][data[i + k]] @ p["filter"][k][:, f]) for k in range(w)) for f in range(n)] for i in range(at, at + hop)]
+        tops.append([max(0.0, max(x[f] for x in sums) + float(p["bias"][f])) for f in range(n)])
+    chunks = [[max(a, b) for a, b in zip(tops[i], tops[min(i + 1, len(tops) - 1)])] for i in range(len(tops))]
+    rated = [[max(0.0, sum(c[f] * float(p["chunk"][f][h]) for f in range(n)) + float(p["chunk_bias"][h])) for h in range(len(p["mean"]))] for c in chunks]
+    logit = float(p["out"][0])
+    for h in range(len(p["mean"])):
+        own = [r[h] for r in rated]
+        logit += sum(own) / len(own) * float(p["mean"][h]) + max(own) * float(p["max"][h])
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_are_those_of_a_naive_network():
+    model = bytecnn.Model()
+    texts = ["", "short", "é日本 " * 40, "words of a text " * 40, "y" * 257]
+    got = model.scores([t.encode() for t in texts])
+    assert got == pytest.approx([naive_score(model.p, t.encode()) for t in texts], abs=1e-5)
+
+
+def test_scores_do_not_depend_on_the_batch(docs):
+    model = bytecnn.Model()
+    texts = [(t or "").encode() for t in docs.text]
+    whole = model.scores(texts).tolist()
+    for size in (1, 7, 50):
+        assert [x for i in range(0, len(texts), size) for x in model.scores(texts[i : i + size]).tolist()] == whole
+    assert model.scores(texts[::-1]).tolist() == whole[::-1]
 
 
 # 4 ------------------------------------------------------------------------------------------
