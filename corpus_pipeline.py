@@ -20,11 +20,15 @@ from symgrid.llm.simhash import one_of_each
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on their labels, doesn't reject."""
+    """Documents that the classifier, trained on their labels, doesn't reject.
+
+    Null and empty texts are rated like any other; equal texts are kept or rejected alike; columns
+    may have any name; an empty table, or one without labels, loses no row.
+    """
     model = trained(docs, table(spark, sf_dir, "labels"))
-    # The score has a name of its own, so that a column "score" of the documents stays.
-    rated = scored(docs.select(F.col("text").alias("_text"), *docs.columns), model, text="_text", name="_score")
-    return rated.where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    # A row travels as one struct, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
+    return scored(rows, model).where(F.col("score") >= THRESHOLD).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
