@@ -68,15 +68,17 @@ class FMIndex:
         every = np.arange(self.symbols)
         self.shift = self.first[:-1] - self.last.placed(every, np.zeros(self.symbols, np.int64))
         # Where runs of suffixes that agree in ``depth`` symbols begin and end.
-        ranked = self._agree(text, rank)
-        self.runs = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        self.run_of = ranked
+        self.common = self._common(text, rank)
+        self.run_of = np.cumsum(self.common < depth) - 1
+        self.runs = np.flatnonzero(self.common < depth)
         self.run_ends = np.append(self.runs[1:], len(text))
+        self._starts: dict[int, np.ndarray] = {}
 
-    def _agree(self, text: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Per place in suffix order a number that is equal for suffixes that agree in ``depth`` symbols."""
+    def _common(self, text: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Per place in suffix order how many symbols the suffix shares with the one before, up to ``depth``; -1 at first."""
         n, order = len(text), self.order
-        same = np.ones(max(0, n - 1), bool)
+        common = np.full(n, self.depth, np.int64)
+        common[0] = -1
         # Neighbours whose rank is equal agree anyhow; only the others are compared symbol by symbol.
         left = np.flatnonzero(rank[order[1:]] != rank[order[:-1]]) if n > 1 else np.zeros(0, np.int64)
         for j in range(self.depth):
@@ -86,9 +88,17 @@ class FMIndex:
             fit = (a < n) & (b < n)
             equal = np.zeros(len(left), bool)
             equal[fit] = text[a[fit]] == text[b[fit]]
-            same[left[~equal]] = False
+            common[left[~equal] + 1] = j
             left = left[equal]
-        return np.concatenate([[0], np.cumsum(~same)]) if n else np.zeros(0, np.int64)
+        return common
+
+    def widened(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of suffixes that agree with those at ``places`` in ``length`` symbols."""
+        if length not in self._starts:
+            self._starts[length] = np.append(np.flatnonzero(self.common < length), len(self.common))
+        starts = self._starts[length]
+        run = np.searchsorted(starts, places, side="right") - 1
+        return starts[run], starts[run + 1]
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the interval of symbol + pattern from that of the pattern."""
@@ -99,8 +109,8 @@ class FMIndex:
         """For each place of each stream the longest match that starts there, up to ``depth``, and its interval.
 
         Streams are slices of ``streams``; symbols the index doesn't have are -1. All streams go
-        from right to left together. A match that would grow beyond ``depth`` is cut on the
-        right: the interval widens to the run of suffixes that agree in ``depth`` symbols.
+        from right to left together. A match that would grow beyond ``depth``, or that can't grow,
+        is cut on the right: the interval widens to the suffixes that agree in fewer symbols.
         """
         n = len(streams)
         match, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -115,10 +125,21 @@ class FMIndex:
             known = symbol >= 0
             a, b = self.extend(np.maximum(symbol, 0), lo[own], hi[own])
             grown = known & (b > a)
-            # No match: the streams here are indexed themselves or stop; begin anew with the symbol alone.
             s = np.maximum(symbol, 0)
+            # If no shorter match can grow either, the symbol alone begins a new one; it may not be there at all.
             new_lo, new_hi = np.where(grown, a, np.where(known, self.first[s], 0)), np.where(grown, b, np.where(known, self.first[s + 1], size))
-            new_length = np.where(grown, length[own] + 1, known.astype(np.int64))
+            new_length = np.where(grown, length[own] + 1, (known & (new_hi > new_lo)).astype(np.int64))
+            stuck = np.flatnonzero(known & ~grown & (length[own] > 1))
+            shorter = int(length[own[stuck]].max(initial=1)) - 1
+            while len(stuck) and shorter:
+                now = stuck[length[own[stuck]] > shorter]
+                a, b = self.extend(symbol[now], *self.widened(lo[own[now]], shorter))
+                fits = b > a
+                new_lo[now[fits]], new_hi[now[fits]], new_length[now[fits]] = a[fits], b[fits], shorter + 1
+                stuck = np.setdiff1d(stuck, now[fits], assume_unique=True)
+                shorter -= 1
+            none = new_length == 0
+            new_lo[none], new_hi[none] = 0, size
             over = new_length > self.depth
             run = self.run_of[np.minimum(new_lo, max(0, size - 1))] if size else np.zeros(len(own), np.int64)
             if over.any():

@@ -1,25 +1,29 @@
-"""Removal of repeated word windows, with a compressed FM-index for each shard of what repeats.
-
-An index of every document for every other one to be streamed through costs the square of the
-corpus, so shards are cut by content instead of by document:
-
-1. Scan. Documents are kept in buckets of bounded size. Each bucket reports the hash of every
-   distinct word sequence with the first document that has it; of equal documents everywhere
-   the earliest goes on, and of the others every window is a repeat already.
-2. The smallest hash of the 8-word grams of a window is its anchor; equal windows have equal
-   anchors. Each bucket reports the distinct grams that are anchors, 8 bytes each, once however
-   often they occur. Those seen in two buckets, or twice in one, are told to the buckets that
-   have them.
-3. In its bucket only the first of equal windows goes on; the others are repeats already.
-   Consecutive windows of one repeated anchor travel as one stretch of words, to the shard of
-   that anchor. A passage that a third of all documents hold is one stretch a bucket there.
-4. A shard builds an FM-index (wavelet matrix) of its stretches and streams them through it:
-   matching statistics of a full window give the run of suffixes that hold it, and every window
-   but the run's earliest is a repeat.
-5. Buckets cover the words of their repeats.
-
-Texts are written once, compressed, and never shuffled; all that moves are anchors and repeated
-stretches.
+"""Removal of repeated word windows by FM-indexes over shards, with documents streamed through them.
+
+A window that occurs twice is found by its matching statistics: backward search over a wavelet
+matrix tells, for every place of a stream, how far the index agrees with it and the interval of
+suffixes that do. Where that is a whole window, the suffixes of the interval are all places
+where it occurs, and every one but the earliest is a repeat. Nothing else declares a repeat.
+
+An index of the whole corpus that all of it is streamed through costs the square of the corpus,
+so there are two rounds of shards, and a filter before them:
+
+1. Filter. The smallest hash of the 8-word grams of a window is its anchor; equal windows have
+   equal anchors, so a window whose anchor occurs nowhere else is no repeat. Documents are kept
+   in buckets of bounded size, and each bucket reports its distinct anchors with how often they
+   occur. Anchors that occur once in all are left out from here on.
+2. First round: a bucket of documents is a shard. What of its distinct texts has anchors that
+   occur again is indexed and streamed through the index. Equal texts share one stream; windows
+   of a text that stands there again are repeats in all its later rows.
+3. Second round: shards by content. The first of equal windows of each bucket, if its anchor
+   occurs in other buckets, goes to the shard of the anchor: consecutive windows of one anchor as
+   one stretch of words, with a dictionary of the words a bucket and shard. A passage that a
+   third of all documents hold comes once a bucket. Anchors of more than :data:`HOT` occurrences
+   don't meet in one shard: their windows travel alone, each to the shard of its own hash.
+4. Buckets cover the words of their repeats.
+
+Words are numbered by their bytes, in a bucket and again in a shard; hashes only say where a
+window travels. Texts are written once, compressed, and never shuffled.
 """
 
 from __future__ import annotations
@@ -39,29 +43,44 @@ from symgrid.llm.fmindex import FMIndex
 WINDOW = 20
 GRAM = 8
 #: Text bytes of a bucket of documents (a longer document is a bucket of its own).
-BUCKET_BYTES = 16 << 20
-_STEPS = [[pow(b, i + 1, 1 << 64) for i in range(64)] for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
+BUCKET_BYTES = 8 << 20
+#: Occurrences of an anchor above which its windows travel alone.
+HOT = 1 << 14
+#: Windows of one stream; a longer stretch is several, which overlap by a window.
+STREAM = 128
+_STEPS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-_HEADS = "part int, src string, hash binary, doc_id binary, known binary, row binary"
-_ANCHORS = "part int, src string, seen binary, twice binary"
+_ANCHORS = "part int, src string, seen binary, times binary"
+_ELSEWHERE, _HOT = 1, 2
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+class Words(dict[bytes, int]):
+    """Numbers of words from 1 on, in the order in which they are asked for."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
 
-def rolled(hashes: np.ndarray, width: int, family: int = 0) -> np.ndarray:
+
+def mixed(words: Iterable[bytes], n: int) -> np.ndarray:
+    """A 64-bit hash of each of ``n`` words, with a place 0 for no word."""
+    x = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.concatenate([np.zeros(1, np.uint64), x ^ (x >> np.uint64(29))])
+
+
+def _finished(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every ``width`` consecutive words."""
-    n = len(hashes) - width + 1
-    x = hashes * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
+    n = max(0, len(hashes) - width + 1)
     out = np.zeros(n, np.uint64)
     for j in range(width):
-        out += x[j : j + n] * np.uint64(_STEPS[family][j])
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0x94D049BB133111EB)
-    return out ^ (out >> np.uint64(32))
+        out += hashes[j : j + n] * np.uint64(_STEPS[j % 64])
+    return _finished(out)
 
 
 def slid(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -74,24 +93,113 @@ def slid(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[:-rest], x[rest:]) if rest else x
 
 
-class Windows:
-    """Anchors of the windows of one text."""
+def parted(values: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each value belongs to."""
+    return ((values * _SPREAD) >> np.uint64(33)).astype(np.int64) % parts
 
-    def __init__(self, words: list[bytes], window: int, gram: int) -> None:
-        self.hashes = hashed(words)
-        self.grams = rolled(self.hashes, gram)
-        self.span = window - gram + 1
-        self.anchors = slid(self.grams, self.span, np.minimum)
 
-    def chosen(self) -> np.ndarray:
-        """The grams that are the anchor of some window, once for each place."""
-        padded = np.concatenate([np.zeros(self.span - 1, np.uint64), self.anchors, np.zeros(self.span - 1, np.uint64)])
-        return self.grams[slid(padded, self.span, np.maximum) == self.grams]
+def by_part(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, indices of its members) of every part that has any."""
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(int(k), order[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges))]
 
 
-def parted(values: np.ndarray, parts: int) -> np.ndarray:
-    """The part that each value belongs to."""
-    return ((values * _SPREAD) >> np.uint64(33)).astype(np.int64) % parts
+def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of slices, one slice after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def runs_of(*following: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, count) of runs in which the last array grows by one and the others stay the same."""
+    n = len(following[-1])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = following[-1][1:] != following[-1][:-1] + 1
+        for x in following[:-1]:
+            new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    if most is not None and n:
+        within = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+        first = np.flatnonzero(within % most == 0)
+    return first, np.diff(np.append(first, n))
+
+
+class Texts:
+    """Words of the distinct texts of a bucket as numbers, one text after the other, and the anchors of their windows.
+
+    Texts of less than a window are left out.
+    """
+
+    def __init__(self, rows: list[tuple[int | None, bytes]], window: int, gram: int) -> None:
+        same: dict[bytes, list[int]] = {}
+        for row, (_, text) in enumerate(rows):
+            same.setdefault(text, []).append(row)
+        numbers = Words()
+        get, parts = numbers.__getitem__, []
+        self.rows: list[list[int]] = []
+        for text, own in same.items():
+            words = text.split()
+            if len(words) >= window:
+                parts.append(np.fromiter(map(get, words), np.int32, len(words)))
+                self.rows.append(own)
+        self.words = list(numbers)
+        self.ids = np.concatenate(parts or [np.zeros(0, np.int32)])
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.starts = self.ends - self.lengths
+        self.hashes = mixed(self.words, len(self.words))[self.ids]
+        self.window, self.span = window, window - gram + 1
+        self.grams = rolled(self.hashes, gram)
+        self.anchors = slid(self.grams, self.span, np.minimum) if parts else np.zeros(0, np.uint64)
+        # Windows that reach from one text into the next aren't any.
+        change = np.zeros(len(self.ids) + 1, np.int8)
+        change[self.ends[:-1] - window + 1] += 1
+        change[self.ends[:-1]] -= 1
+        self.valid = np.cumsum(change[: len(self.anchors)]) == 0
+
+    def anchored(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, and how many places of all rows they stand at."""
+        if not self.rows:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(self.span - 1, np.uint64)
+        chosen = np.flatnonzero(slid(np.concatenate([none, np.where(self.valid, self.anchors, np.uint64(0)), none]), self.span, np.maximum) == self.grams)
+        values, number = np.unique(self.grams[chosen], return_inverse=True)
+        times = np.array([len(r) for r in self.rows], np.int64)[np.searchsorted(self.ends, chosen, side="right")]
+        return values, np.bincount(number, times, len(values)).astype(np.int64)
+
+    def window_hashes(self, places: np.ndarray) -> np.ndarray:
+        """Hash of the whole windows that begin at ``places``."""
+        out = np.zeros(len(places), np.uint64)
+        for j in range(self.window):
+            out += self.hashes[places + j] * np.uint64(_STEPS[j % 64])
+        return _finished(out)
+
+
+def intervals(symbols: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """For every window of every stretch the number of its interval in an index of all stretches; -1 where none is as long.
+
+    ``symbols`` are those of all stretches, from 1 on, one stretch after the other. Equal numbers
+    mean equal windows.
+    """
+    used = np.zeros(int(symbols.max(initial=0)) + 1, bool)
+    used[symbols] = True
+    begins = np.cumsum(lengths) - lengths
+    text = np.insert(np.cumsum(used)[symbols], begins[1:], 0)  # a zero between stretches
+    begins = begins + np.arange(len(lengths))
+    index = FMIndex(text, window)
+    match, low, _ = index.matching_statistics(text, begins, lengths)
+    at = spread(begins, lengths - window + 1)
+    return np.where(match[at] >= window, index.run_of[low[at]], -1)
+
+
+def firsts(run: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Whether each window is the earliest of its interval; ``order``: sort keys, the most important one last, none if sorted."""
+    sort = np.lexsort((*order, run)) if order else np.argsort(run, kind="stable")
+    out = np.zeros(len(run), bool)
+    out[sort] = np.concatenate([[True], run[sort][1:] != run[sort][:-1]])[: len(run)]
+    return out
 
 
 def read_bucket(path: str) -> list[tuple[int | None, bytes]]:
@@ -110,86 +218,34 @@ def write_bucket(path: str, rows: list[tuple[int | None, bytes]]) -> None:
     put(path, [out.getvalue()])
 
 
-def put_numbers(path: str, numbers: np.ndarray) -> None:
-    put(path, [numbers.astype(np.int32).tobytes()])
+def put_spans(path: str, *columns: np.ndarray) -> None:
+    """Keep (row, first window, number of windows) of repeats beside their bucket."""
+    put(path, [np.stack(columns).astype(np.int32).tobytes()])
 
 
-def numbers_at(path: str) -> np.ndarray:
-    """The numbers of a file beside a bucket; none if there is no such file."""
+def spans_at(path: str) -> np.ndarray:
+    """What :func:`put_spans` kept, three rows of numbers; none if there is no such file."""
     fs, plain = filesystem(path)
     if not fs.get_file_info(plain).is_file:
-        return np.zeros(0, np.int32)
+        return np.zeros((3, 0), np.int32)
     with open_file(path) as source:
-        return np.frombuffer(source.read(), np.int32)
-
-
-def by_part(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """(part, indices of its members) of every part that has any."""
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    return [(int(k), order[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges))]
+        return np.frombuffer(source.read(), np.int32).reshape(3, -1)
 
 
-def scan_bucket(path: str, rows: list[tuple[int | None, bytes]], parts: int, window: int) -> pa.RecordBatch:
-    """Keep a bucket and report by part the first document of each word sequence; its other copies are noted beside the bucket."""
-    write_bucket(path, rows)
-    first: dict[bytes, int] = {}
-    copies: list[int] = []
-    for row, (_, text) in enumerate(rows):
-        words = text.split()
-        if len(words) >= window:
-            digest = xxhash.xxh3_128_digest(b" ".join(words))
-            if digest in first:
-                copies.append(row)
-            else:
-                first[digest] = row
-    put_numbers(path + ".copies", np.array(copies, np.int32))
-    hashes, at = list(first), list(first.values())
-    part = parted(np.frombuffer(b"".join(hashes), np.uint64)[::2].copy(), parts)
-    out = []
-    for k, own in by_part(part, parts) or [(0, np.zeros(0, np.int64))]:
-        ids = [rows[at[i]][0] for i in own]
-        out.append((k, path, b"".join(hashes[i] for i in own), np.array([x or 0 for x in ids], np.int64).tobytes(), np.array([x is not None for x in ids], bool).tobytes(), np.array([at[i] for i in own], np.int32).tobytes()))
-    types = [pa.int32(), pa.string(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=[c.split()[0] for c in _HEADS.split(", ")])
-
-
-def earlier_copies(group: pa.Table) -> pa.Table:
-    """For each bucket of a part the documents whose word sequence an earlier document has."""
-    srcs = group.column("src").to_pylist()
-    joined = lambda name, kind: [np.frombuffer(b, kind) for b in group.column(name).to_pylist()]
-    rows = joined("row", np.int32)
-    src = np.repeat(np.arange(len(srcs)), [len(r) for r in rows])
-    row, doc_id, known = np.concatenate(rows), np.concatenate(joined("doc_id", np.int64)), np.concatenate(joined("known", bool))
-    number = np.unique(np.concatenate(joined("hash", "V16")), return_inverse=True)[1]
-    rank = np.argsort(np.argsort(np.array(srcs)))  # ties between equal doc_ids follow the bucket's name
-    order = np.lexsort((row, rank[src], doc_id, ~known, number))
-    later = np.zeros(len(order), bool)
-    later[order[1:]] = number[order][1:] == number[order][:-1]
-    out = [(srcs[k], row[later][own].tobytes()) for k, own in by_part(src[later], len(srcs))]
-    return pa.table({"src": pa.array([r[0] for r in out], pa.string()), "rows": pa.array([r[1] for r in out], pa.binary())})
-
-
-def anchor_bucket(path: str, told: list[bytes], parts: int, window: int, gram: int) -> pa.RecordBatch:
-    """The anchors of a bucket by part, without those of documents that are copies; all copies are noted beside the bucket."""
-    copies = np.unique(np.concatenate([numbers_at(path + ".copies"), *(np.frombuffer(b, np.int32) for b in told)]))
-    put_numbers(path + ".gone", copies)
-    skip = set(copies.tolist())
-    chosen = []
-    for row, (_, text) in enumerate(read_bucket(path)):
-        words = text.split() if row not in skip else []
-        if len(words) >= window:
-            chosen.append(Windows(words, window, gram).chosen())
-    values, counts = np.unique(np.concatenate(chosen or [np.zeros(0, np.uint64)]), return_counts=True)
+def scan_bucket(folder: str, rows: list[tuple[int | None, bytes]], parts: int, window: int, gram: int) -> pa.RecordBatch:
+    """Keep a bucket and report its anchors by part."""
+    src = uuid.uuid4().hex
+    write_bucket(f"{folder}/{src}", rows)
+    values, times = Texts(rows, window, gram).anchored()
     cuts = by_part(parted(values, parts), parts) or [(0, np.zeros(0, np.int64))]
-    return pa.RecordBatch.from_pydict(
-        {"part": pa.array([k for k, _ in cuts], pa.int32()), "src": [path] * len(cuts), "seen": [values[c].tobytes() for _, c in cuts], "twice": [(counts[c] > 1).tobytes() for _, c in cuts]},
-        schema=pa.schema([("part", pa.int32()), ("src", pa.string()), ("seen", pa.binary()), ("twice", pa.binary())]),
-    )
+    few = np.minimum(times, 65535).astype(np.uint16)
+    types = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
+    columns = ([k for k, _ in cuts], [src] * len(cuts), [values[c].tobytes() for _, c in cuts], [few[c].tobytes() for _, c in cuts])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _ANCHORS.split(", ")])
 
 
-def scan(docs: DataFrame, path: str, parts: int, window: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Write the buckets and report their word sequences; every attempt of a task writes files of its own."""
+def scan(docs: DataFrame, folder: str, parts: int, window: int, gram: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Write the buckets and report their anchors; every attempt of a task writes files of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int | None, bytes]] = []
@@ -198,153 +254,142 @@ def scan(docs: DataFrame, path: str, parts: int, window: int, bucket_bytes: int
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 text = text or b""
                 if rows and held + len(text) > bucket_bytes:
-                    yield scan_bucket(f"{path}/{uuid.uuid4().hex}", rows, parts, window)
+                    yield scan_bucket(folder, rows, parts, window, gram)
                     rows, held = [], 0
                 rows.append((doc_id, text))
                 held += len(text) + 64
         if rows:
-            yield scan_bucket(f"{path}/{uuid.uuid4().hex}", rows, parts, window)
+            yield scan_bucket(folder, rows, parts, window, gram)
 
-    return map_arrow(docs, run, _HEADS)
+    return map_arrow(docs, run, _ANCHORS)
 
 
-def repeated_anchors(group: pa.Table) -> pa.Table:
-    """For each bucket of a part the anchors that occur elsewhere or twice in it."""
+def repeated_anchors(group: pa.Table, hot: int = HOT) -> pa.Table:
+    """For each bucket of a part the anchors that occur more than once, and whether elsewhere and very often."""
     srcs = group.column("src").to_pylist()
     seen = [np.frombuffer(b, np.uint64) for b in group.column("seen").to_pylist()]
-    values = np.concatenate(seen)
+    times = np.frombuffer(b"".join(group.column("times").to_pylist()), np.uint16)
     owner = np.repeat(np.arange(len(srcs)), [len(x) for x in seen])
-    twice = np.frombuffer(b"".join(group.column("twice").to_pylist()), bool)
-    _, number, counts = np.unique(values, return_inverse=True, return_counts=True)
-    again = counts > 1
-    again[number[twice]] = True
-    keep = again[number]
-    values, owner = values[keep], owner[keep]
+    values = np.concatenate(seen)
+    number = np.unique(values, return_inverse=True)[1]
+    buckets = np.bincount(number)[number] if len(number) else number
+    total = np.bincount(number, times)[number] if len(number) else number
+    marks = _ELSEWHERE * (buckets > 1) + _HOT * (total > hot)
+    keep = total > 1
+    values, owner, marks = values[keep], owner[keep], marks[keep].astype(np.uint8)
     edges = np.searchsorted(owner, np.arange(len(srcs) + 1))
-    rows = [(s, values[a:b].tobytes()) for s, a, b in zip(srcs, edges, edges[1:]) if b > a]
-    return pa.table({"src": pa.array([r[0] for r in rows], pa.string()), "anchors": pa.array([r[1] for r in rows], pa.binary())})
-
-
-_STRETCH = "part int, src string, doc_id binary, known binary, row binary, start binary, n binary, words binary"
-
-
-def stretches(group: pa.Table, parts: int, window: int, gram: int) -> pa.Table:
-    """The first of equal windows of repeated anchors in a bucket, as stretches of words; the others are noted beside the bucket."""
-    path = group.column("src")[0].as_py()
-    wanted = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("anchors").to_pylist()]))
-    rows = read_bucket(path)
-    skip = set(numbers_at(path + ".gone").tolist())
-    kept: dict[int, np.ndarray] = {}
-    found: list[tuple[np.ndarray, ...]] = []
-    for row, (_, text) in enumerate(rows):
-        words = text.split() if row not in skip else []
-        if len(words) < window:
-            continue
-        own = Windows(words, window, gram)
-        at = np.minimum(np.searchsorted(wanted, own.anchors), len(wanted) - 1)
-        start = np.flatnonzero(wanted[at] == own.anchors)
-        if len(start):
-            kept[row] = own.hashes
-            found.append((np.full(len(start), row, np.int32), start.astype(np.int32), own.anchors[start], rolled(own.hashes, window)[start], rolled(own.hashes, window, 1)[start]))
-    if found:
-        row, start, anchor, one, two = (np.concatenate(x) for x in zip(*found))
-    else:
-        row = start = np.zeros(0, np.int32)
-        anchor = one = two = np.zeros(0, np.uint64)
-    order = np.argsort(one, kind="stable")  # rows and starts ascend among equal hashes
-    head = np.concatenate([[True], one[order][1:] != one[order][:-1]])[: len(order)]
-    of = order[head][np.cumsum(head) - 1] if len(order) else order
-    later = np.zeros(len(order), bool)
-    later[order] = ~head & (two[order] == two[of])
-    put_numbers(path + ".repeats", np.concatenate([row[later], start[later]]))
-    row, start, anchor = row[~later], start[~later], anchor[~later]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1])
-    head = np.flatnonzero(new)
-    n = np.diff(np.append(head, len(row)))
-    row, start, part = row[head], start[head], parted(anchor[head], parts)
-    order = np.argsort(part, kind="stable")
-    row, start, part, n = row[order], start[order], part[order], n[order]
-    edges = np.searchsorted(part, np.arange(parts + 1))
+    rows = [(s, values[a:b].tobytes(), marks[a:b].tobytes()) for s, a, b in zip(srcs, edges, edges[1:]) if b > a]
+    return pa.table({c: pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.binary()) for k, c in enumerate(("src", "anchors", "marks"))})
+
+
+_STRETCH = "part int, src string, doc_id binary, known binary, row binary, start binary, n binary, words binary, ids binary"
+
+
+def bucket_repeats(group: pa.Table, folder: str, parts: int, window: int, gram: int) -> pa.Table:
+    """First round: keep the repeats within a bucket beside it; stretches of the first windows that others may hold."""
+    src = group.column("src")[0].as_py()
+    anchors = np.frombuffer(b"".join(group.column("anchors").to_pylist()), np.uint64)
+    order = np.argsort(anchors)
+    anchors, marks = anchors[order], np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8)[order]
+    rows = read_bucket(f"{folder}/{src}")
+    texts = Texts(rows, window, gram)
+    at = np.minimum(np.searchsorted(anchors, texts.anchors), len(anchors) - 1)
+    place = np.flatnonzero(texts.valid & (anchors[at] == texts.anchors))
+    first, n = runs_of(place, most=STREAM)
+    run = intervals(texts.ids[spread(place[first], n + window - 1)], n + window - 1, window)
+    text = np.searchsorted(texts.ends, place, side="right")
+    start = place - texts.starts[text]
+    own = np.array([r[0] for r in texts.rows], np.int64)[text]
+    # Texts stand in the order of their first rows, so places are in the order that repeats follow.
+    early = firsts(run)
+    gone = np.flatnonzero(~early & (run >= 0))
+    spans = [(own[gone][k], start[gone][k], n) for k, n in [runs_of(own[gone], start[gone])]]
+    held = np.flatnonzero(run >= 0)
+    copies = []
+    k, n = runs_of(text[held], start[held])
+    of, begin = text[held][k], start[held][k]
+    for t, first_span, last_span in zip(*_groups(of)):
+        for row in texts.rows[t][1:]:
+            copies.append((np.full(last_span - first_span, row), begin[first_span:last_span], n[first_span:last_span]))
+    put_spans(f"{folder}/{src}.repeats", *(np.concatenate(c) for c in zip(*spans, *copies)))
+    sent = np.flatnonzero(early & (run >= 0) & (marks[at[place]] & _ELSEWHERE > 0))
+    hot = marks[at[place[sent]]] & _HOT > 0
+    key = texts.anchors[place[sent]]
+    # A window that travels alone has a key of its own.
+    key[hot] = texts.window_hashes(place[sent][hot])
+    first, n = runs_of(key, np.where(hot, -2 * np.arange(len(sent)), 0), place[sent], most=STREAM)
+    row, start, part = own[sent][first], start[sent][first], parted(key[first], parts)
+    begins = place[sent][first]
     out: list[tuple] = []
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        cut = slice(edges[k], edges[k + 1])
-        r, s, m = row[cut], start[cut], n[cut]
-        ids = [rows[i][0] for i in r.tolist()]
-        words = b"".join(kept[i][a : a + c + window - 1].tobytes() for i, a, c in zip(r.tolist(), s.tolist(), m.tolist()))
-        out.append((k, path, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is not None for i in ids], bool).tobytes(), r.tobytes(), s.tobytes(), m.astype(np.int32).tobytes(), words))
-    columns = list(zip(*out)) or [()] * 8
-    types = [pa.int32(), pa.string(), *[pa.binary()] * 6]
+    for k, cut in by_part(part, parts):
+        ids = texts.ids[spread(begins[cut], n[cut] + window - 1)]
+        number, local = np.unique(ids, return_inverse=True)
+        doc_ids = [rows[i][0] for i in row[cut].tolist()]
+        words = b" ".join(texts.words[i - 1] for i in number.tolist())
+        out.append((k, src, np.array([i or 0 for i in doc_ids], np.int64).tobytes(), np.array([i is not None for i in doc_ids], bool).tobytes(), row[cut].astype(np.int32).tobytes(), start[cut].astype(np.int32).tobytes(), n[cut].astype(np.int32).tobytes(), words, local.astype(np.int32).tobytes()))
+    columns = list(zip(*out)) or [()] * 9
+    types = [pa.int32(), pa.string(), *[pa.binary()] * 7]
     return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(_STRETCH.split(", "), columns, types)})
 
 
-def repeated_windows(group: pa.Table, window: int) -> pa.Table:
-    """For each bucket the windows of its stretches that occur earlier in another stretch of the shard."""
+def _groups(sorted_values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(value, first, end) of each run of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)])
+    return sorted_values[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_values)).tolist()
+
+
+def shard_repeats(group: pa.Table, window: int) -> pa.Table:
+    """Second round: for each bucket the windows of its stretches that occur earlier in another stretch of the shard."""
     srcs = group.column("src").to_pylist()
-    joined = lambda name, kind: [np.frombuffer(b, kind) for b in group.column(name).to_pylist()]
-    rows = joined("row", np.int32)
-    src = np.repeat(np.arange(len(srcs)), [len(r) for r in rows])
+    joined = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in group.column(name).to_pylist()])
+    src = np.repeat(np.arange(len(srcs)), [len(b) // 4 for b in group.column("row").to_pylist()])
     rank = np.argsort(np.argsort(np.array(srcs)))  # ties between equal doc_ids follow the bucket's name
-    row, start, n = (np.concatenate(x).astype(np.int64) for x in (rows, joined("start", np.int32), joined("n", np.int32)))
-    doc_id, known = np.concatenate(joined("doc_id", np.int64)), np.concatenate(joined("known", bool))
-    words = np.unique(np.concatenate(joined("words", np.uint64)), return_inverse=True)[1].astype(np.int64) + 1
-    lengths = n + window - 1
-    ends = np.cumsum(lengths)
-    text = np.insert(words, ends[:-1], 0)  # a zero between stretches
-    begins = ends - lengths + np.arange(len(n))
-    index = FMIndex(text, window)
-    match, low, _ = index.matching_statistics(text, begins, lengths)
+    row, start, n = (joined(c, np.int32).astype(np.int64) for c in ("row", "start", "n"))
+    doc_id, known = joined("doc_id", np.int64), joined("known", bool)
+    get = Words().__getitem__
+    parts = []
+    for words, ids in zip(group.column("words").to_pylist(), group.column("ids").to_pylist()):
+        parts.append(np.array([*map(get, words.split(b" "))], np.int64)[np.frombuffer(ids, np.int32)])
+    run = intervals(np.concatenate(parts), n + window - 1, window)
     of = np.repeat(np.arange(len(n)), n)
-    shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    at = begins[of] + shift
-    assert (match[at] == window).all()
-    run = index.run_of[low[at]]
-    order = np.lexsort((start[of] + shift, row[of], rank[src[of]], doc_id[of], ~known[of], run))
-    head = np.concatenate([[True], run[order][1:] != run[order][:-1]])
-    later = np.zeros(len(of), bool)
-    later[order] = ~head
-    of, first = of[later], (start[of] + shift)[later]
-    edges = np.searchsorted(src[of], np.arange(len(srcs) + 1))
-    out = [(s, row[of[a:b]].astype(np.int32).tobytes(), first[a:b].astype(np.int32).tobytes()) for s, a, b in zip(srcs, edges, edges[1:]) if b > a]
-    return pa.table({"src": pa.array([r[0] for r in out], pa.string()), "row": pa.array([r[1] for r in out], pa.binary()), "start": pa.array([r[2] for r in out], pa.binary())})
+    place = start[of] + spread(np.zeros(len(n), np.int64), n)
+    early = firsts(run, place, row[of], rank[src[of]], doc_id[of], ~known[of])
+    gone = np.flatnonzero(~early & (run >= 0))
+    gone = gone[np.lexsort((place[gone], row[of[gone]], src[of[gone]]))]
+    k, count = runs_of(src[of[gone]], row[of[gone]], place[gone])
+    owner, first, begin = src[of[gone]][k], row[of[gone]][k], place[gone][k]
+    edges = np.searchsorted(owner, np.arange(len(srcs) + 1))
+    out = [(s, np.stack([first[a:b], begin[a:b], count[a:b]]).astype(np.int32).tobytes()) for s, a, b in zip(srcs, edges, edges[1:]) if b > a]
+    return pa.table({"src": pa.array([r[0] for r in out], pa.string()), "spans": pa.array([r[1] for r in out], pa.binary())})
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
 
 
-def covered(group: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+def covered(path: str, told: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     """The rows of a bucket without the words that its repeats cover."""
-    path = group.column("src")[0].as_py()
-    there = lambda name: [np.frombuffer(b, np.int32) for b in group.column(name).to_pylist() if b]
-    rows, starts = there("row"), there("start")
-    own = numbers_at(path + ".repeats")
-    rows.append(own[: len(own) // 2])
-    starts.append(own[len(own) // 2 :])
-    copies = set(numbers_at(path + ".gone").tolist())
-    row, start = (np.concatenate(x) for x in (rows, starts))
+    row, start, count = np.concatenate([spans_at(path + ".repeats"), *(np.frombuffer(b, np.int32).reshape(3, -1) for b in told)], axis=1)
     order = np.argsort(row, kind="stable")
-    row, start = row[order], start[order]
+    row, start, end = row[order], start[order], start[order] + count[order] + window - 1
+    rows = read_bucket(path)
+    edges = np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
     out: list[tuple] = []
     held = 0
-    for k, (doc_id, text) in enumerate(read_bucket(path)):
+    for k, (doc_id, text) in enumerate(rows):
         words = text.split()
         n = len(words)
-        a, b = np.searchsorted(row, [k, k + 1])
+        a, b = edges[k], edges[k + 1]
         spans: list[dict[str, int]] = []
-        kept = words
-        gone = 0
-        if k in copies:
-            gone, spans, kept = n, [{"start": 0, "end": n}], []
-        elif b > a:
-            change = np.zeros(n + 1, np.int64)
-            np.add.at(change, start[a:b], 1)
-            np.add.at(change, start[a:b] + window, -1)
-            cover = np.cumsum(change[:n]) > 0
-            gone = int(cover.sum())
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], cover, [False]]).astype(np.int8))).tolist()
-            spans = [{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2])]
-            kept = [words[i] for i in np.flatnonzero(~cover).tolist()]
-        out.append((doc_id, n, gone, spans, b" ".join(kept).decode()))
+        if b > a:
+            merged: list[list[int]] = []
+            for x, y in sorted(zip(start[a:b].tolist(), end[a:b].tolist())):
+                if merged and x <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], y)
+                else:
+                    merged.append([x, y])
+            spans = [{"start": x, "end": y} for x, y in merged]
+            words = [w for (_, x), (y, _) in zip([[0, 0], *merged], [*merged, [n, n]]) for w in words[x:y]]
+        out.append((doc_id, n, n - len(words), spans, b" ".join(words).decode()))
         held += len(text)
         if held > 4 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
@@ -353,7 +398,7 @@ def covered(group: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, text: str = "text", id: str = "doc_id") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept) of every row of ``docs``.
 
     A window is ``window`` consecutive words (runs of anything but the six ASCII white-space
@@ -369,31 +414,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = B
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, int(total // bucket_bytes))
     wide = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    path = work_dir(spark, "buckets")
-    heads = stored(scan(rows, path, parts, window, bucket_bytes), "heads")
-    every = heads.select("src").distinct()
-    copies = heads.repartition(parts, "part").groupBy("part").applyInArrow(earlier_copies, "src string, rows binary")
-
-    def anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for src, told in zip(*(c.to_pylist() for c in batch.columns)):
-                yield anchor_bucket(src, told, parts, window, gram)
-
-    # Lists of a bucket have at most one entry a part, about its own texts.
-    named = copies.unionByName(every.select("src", F.lit(None).cast("binary").alias("rows"))).repartition(wide, "src").groupBy("src").agg(F.collect_list("rows").alias("rows"))
-    anchors = stored(map_arrow(named, anchored, _ANCHORS), "anchors")
-    told = anchors.repartition(parts, "part").groupBy("part").applyInArrow(repeated_anchors, "src string, anchors binary")
-    moved = told.repartition(wide, "src").groupBy("src").applyInArrow(lambda t: stretches(t, parts, window, gram), _STRETCH)
-    shards = moved.repartition(wide, "part").groupBy("part").applyInArrow(lambda t: repeated_windows(t, window), "src string, row binary, start binary")
-    none = every.select("src", F.lit(None).cast("binary").alias("row"), F.lit(None).cast("binary").alias("start"))
+    folder = work_dir(spark, "buckets")
+    anchors = stored(scan(rows, folder, parts, window, gram, bucket_bytes), "anchors")
+    told = anchors.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: repeated_anchors(t, hot), "src string, anchors binary, marks binary")
+    moved = told.repartition(wide, "src").groupBy("src").applyInArrow(lambda t: bucket_repeats(t, folder, parts, window, gram), _STRETCH)
+    shards = moved.repartition(wide, "part").groupBy("part").applyInArrow(lambda t: shard_repeats(t, window), "src string, spans binary")
+    none = anchors.select("src", F.lit(None).cast("binary").alias("spans")).distinct()
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, row, start in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs = {"src": [path] * max(1, len(row)), "row": row or [None], "start": start or [None]}
-                yield from covered(pa.table(pairs, schema=pa.schema([("src", pa.string()), ("row", pa.binary()), ("start", pa.binary())])), window)
+            for src, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from covered(f"{folder}/{src}", spans, window)
 
-    replies = stored(shards, "repeats").unionByName(none).repartition(wide, "src").groupBy("src").agg(F.collect_list("row").alias("row"), F.collect_list("start").alias("start"))
+    # A bucket gets at most one list a part, about its own texts.
+    replies = stored(shards, "repeats").unionByName(none).repartition(wide, "src").groupBy("src").agg(F.collect_list("spans").alias("spans"))
     return map_arrow(replies, finish, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
 
 

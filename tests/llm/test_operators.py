@@ -600,6 +600,37 @@ def test_repeats_odd(spark, odd, window):
     assert substring.without_repeats(odd.limit(0), window).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [20_000, 1 << 24])
+def test_hot_anchors_travel_window_by_window(spark, data, docs, bucket):
+    got = substring.without_repeats(table(spark, data, "documents"), bucket_bytes=bucket, hot=1).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(without(list(zip(docs.doc_id, docs.text))))
+
+
+def test_only_the_index_declares_repeats(monkeypatch, tmp_path):
+    """Every removed window is one the index reports; without what it reports none is removed."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, "start " + " ".join(words[10:50])), (3, " ".join(words)), (4, " ".join(words[::-1]))]
+
+    def removed(at):
+        folder = str(tmp_path / at)
+        heads = pa.Table.from_batches([substring.scan_bucket(folder, [(i, t.encode()) for i, t in part], 2, 20, 8) for part in (rows[:2], rows[2:])])
+        per = lambda t, c: [t.filter(pa.compute.equal(t.column(c), v)) for v in t.column(c).unique()]
+        told = pa.concat_tables([substring.repeated_anchors(g) for g in per(heads, "part")])
+        moved = pa.concat_tables([substring.bucket_repeats(g, folder, 2, 20, 8) for g in per(told, "src")])
+        shards = [substring.shard_repeats(g, 20) for g in per(moved, "part")]
+        spans = {s: [b for t in shards for k, b in t.to_pylist() and zip(t.column("src").to_pylist(), t.column("spans").to_pylist()) if k == s] for s in heads.column("src").unique().to_pylist()}
+        return {r["doc_id"]: r["n_removed"] for s, b in spans.items() for batch in substring.covered(f"{folder}/{s}", b, 20) for r in batch.to_pylist()}
+
+    import pyarrow.compute  # noqa: F401
+
+    assert removed("a") == {1: 0, 2: 40, 3: 60, 4: 0}
+    real = FMIndex.matching_statistics
+    monkeypatch.setattr(FMIndex, "matching_statistics", lambda self, *a: tuple(x * 0 for x in real(self, *a)))
+    assert removed("b") == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
 def test_periodic_texts(spark):
     r = np.random.default_rng(5)
     rows = [(i, " ".join(r.choice(list("abc"), 200))) for i in range(30)] + [(40, "con, " * 500), (41, "x y " * 90 + "con, " * 60)]
@@ -621,3 +652,26 @@ def test_fm_index():
             for c in p[::-1]:
                 low, high = index.extend(np.array([c]), low, high)
             assert max(0, int(high[0] - low[0])) == sum((text[i : i + len(p)] == p).all() for i in range(n - len(p) + 1))
+
+
+def test_matching_statistics():
+    r = np.random.default_rng(8)
+    for n, symbols, depth in ((300, 3, 6), (80, 2, 9), (500, 30, 4)):
+        text = r.integers(1, symbols + 1, n)
+        text[r.integers(0, n, n // 20)] = 0
+        streams = r.integers(1, symbols + 1, 200)
+        streams[r.integers(0, 200, 6)] = -1
+        starts, lengths = np.array([0, 50, 170]), np.array([50, 120, 30])
+        streams[60 : 60 + 40] = text[20:60]
+        streams[streams == 0] = 1
+        index = FMIndex(text, depth)
+        streams = np.where(streams >= index.symbols, -1, streams)
+        match, low, high = index.matching_statistics(streams, starts, lengths)
+        for a, m in zip(starts, lengths):
+            for i in range(a, a + m):
+                best, k = 0, 1
+                while k <= min(depth, a + m - i) and any((text[j : j + k] == streams[i : i + k]).all() for j in range(n - k + 1)):
+                    best, k = k, k + 1
+                assert match[i] == best
+                if best:
+                    assert high[i] - low[i] == sum((text[j : j + best] == streams[i : i + best]).all() for j in range(n - best + 1))
