@@ -23,7 +23,7 @@ so there are two rounds of shards, and a filter before them:
 4. Buckets cover the words of their repeats.
 
 Words are numbered by their bytes, in a bucket and again in a shard; hashes only say where a
-window travels. Texts are written once, compressed, and never shuffled.
+window travels. Texts are written once, as compressed numbers of words, and never shuffled.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from symgrid.llm.fmindex import FMIndex
 WINDOW = 20
 GRAM = 8
 #: Text bytes of a bucket of documents (a longer document is a bucket of its own).
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Occurrences of an anchor above which its windows travel alone.
 HOT = 1 << 14
 #: Windows of one stream; a longer stretch is several, which overlap by a window.
@@ -127,46 +127,60 @@ def runs_of(*following: np.ndarray, most: int | None = None) -> tuple[np.ndarray
 
 
 class Texts:
-    """Words of the distinct texts of a bucket as numbers, one text after the other, and the anchors of their windows.
+    """A bucket: words of its distinct texts as numbers, one text after the other, and its rows.
 
-    Texts of less than a window are left out.
+    ``rows`` are (doc_id, number of the text) in the order that repeats follow: by doc_id, nulls
+    last, then text. Texts are numbered in the order of their first rows.
     """
 
-    def __init__(self, rows: list[tuple[int | None, bytes]], window: int, gram: int) -> None:
-        same: dict[bytes, list[int]] = {}
-        for row, (_, text) in enumerate(rows):
-            same.setdefault(text, []).append(row)
-        numbers = Words()
-        get, parts = numbers.__getitem__, []
-        self.rows: list[list[int]] = []
-        for text, own in same.items():
+    def __init__(self, rows: list[tuple[int | None, int]], words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.rows, self.words, self.ids, self.lengths = rows, words, ids, lengths
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+
+    @classmethod
+    def of(cls, rows: list[tuple[int | None, bytes]]) -> Texts:
+        """The bucket of (doc_id, text)."""
+        numbers, same = Words(), Words()
+        own = [(i, same[t] - 1) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))]
+        get, parts = numbers.__getitem__, [np.zeros(0, np.int32)]
+        for text in same:
             words = text.split()
-            if len(words) >= window:
-                parts.append(np.fromiter(map(get, words), np.int32, len(words)))
-                self.rows.append(own)
-        self.words = list(numbers)
-        self.ids = np.concatenate(parts or [np.zeros(0, np.int32)])
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.starts = self.ends - self.lengths
-        self.hashes = mixed(self.words, len(self.words))[self.ids]
+            parts.append(np.fromiter(map(get, words), np.int32, len(words)))
+        return cls(own, list(numbers), np.concatenate(parts), np.array([len(p) for p in parts[1:]], np.int64))
+
+    @classmethod
+    def read(cls, path: str) -> Texts:
+        with open_file(path) as source:
+            doc_id, known, text, words, ids, lengths = (source_column[0].as_py() for source_column in pa.ipc.open_file(source).read_all().columns)
+        doc_ids = [i if k else None for i, k in zip(np.frombuffer(doc_id, np.int64).tolist(), np.frombuffer(known, bool).tolist())]
+        return cls(list(zip(doc_ids, np.frombuffer(text, np.int32).tolist())), words.split(b" ") if words else [], np.frombuffer(ids, np.int32), np.frombuffer(lengths, np.int64))
+
+    def write(self, path: str) -> None:
+        ids, texts = zip(*self.rows)
+        columns = (np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool), np.array(texts, np.int32), b" ".join(self.words), self.ids, self.lengths)
+        batch = pa.RecordBatch.from_arrays([pa.array([c if type(c) is bytes else c.tobytes()], pa.large_binary()) for c in columns], names=["doc_id", "known", "text", "words", "ids", "lengths"])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(batch)
+        put(path, [out.getvalue()])
+
+    def anchor(self, window: int, gram: int) -> None:
+        """Find the anchor of every window; those that reach from one text into the next aren't valid."""
         self.window, self.span = window, window - gram + 1
+        self.hashes = mixed(self.words, len(self.words))[self.ids]
         self.grams = rolled(self.hashes, gram)
-        self.anchors = slid(self.grams, self.span, np.minimum) if parts else np.zeros(0, np.uint64)
-        # Windows that reach from one text into the next aren't any.
-        change = np.zeros(len(self.ids) + 1, np.int8)
-        change[self.ends[:-1] - window + 1] += 1
-        change[self.ends[:-1]] -= 1
-        self.valid = np.cumsum(change[: len(self.anchors)]) == 0
+        self.anchors = slid(self.grams, self.span, np.minimum) if len(self.ids) >= window else np.zeros(0, np.uint64)
+        self.valid = np.repeat(self.ends, self.lengths)[: len(self.anchors)] - np.arange(len(self.anchors)) >= window
 
     def anchored(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors, and how many places of all rows they stand at."""
-        if not self.rows:
+        if not len(self.anchors):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         none = np.zeros(self.span - 1, np.uint64)
         chosen = np.flatnonzero(slid(np.concatenate([none, np.where(self.valid, self.anchors, np.uint64(0)), none]), self.span, np.maximum) == self.grams)
         values, number = np.unique(self.grams[chosen], return_inverse=True)
-        times = np.array([len(r) for r in self.rows], np.int64)[np.searchsorted(self.ends, chosen, side="right")]
+        times = np.bincount([t for _, t in self.rows])[np.searchsorted(self.ends, chosen, side="right")]
         return values, np.bincount(number, times, len(values)).astype(np.int64)
 
     def window_hashes(self, places: np.ndarray) -> np.ndarray:
@@ -202,22 +216,6 @@ def firsts(run: np.ndarray, *order: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_bucket(path: str) -> list[tuple[int | None, bytes]]:
-    with open_file(path) as source:
-        got = pa.ipc.open_file(source).read_all()
-    return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
-
-
-def write_bucket(path: str, rows: list[tuple[int | None, bytes]]) -> None:
-    """Rows in the order that ties between equal doc_ids follow: by doc_id, nulls last, then text."""
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_file(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.large_binary())], schema=schema))
-    put(path, [out.getvalue()])
-
-
 def put_spans(path: str, *columns: np.ndarray) -> None:
     """Keep (row, first window, number of windows) of repeats beside their bucket."""
     put(path, [np.stack(columns).astype(np.int32).tobytes()])
@@ -235,8 +233,10 @@ def spans_at(path: str) -> np.ndarray:
 def scan_bucket(folder: str, rows: list[tuple[int | None, bytes]], parts: int, window: int, gram: int) -> pa.RecordBatch:
     """Keep a bucket and report its anchors by part."""
     src = uuid.uuid4().hex
-    write_bucket(f"{folder}/{src}", rows)
-    values, times = Texts(rows, window, gram).anchored()
+    texts = Texts.of(rows)
+    texts.write(f"{folder}/{src}")
+    texts.anchor(window, gram)
+    values, times = texts.anchored()
     cuts = by_part(parted(values, parts), parts) or [(0, np.zeros(0, np.int64))]
     few = np.minimum(times, 65535).astype(np.uint16)
     types = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
@@ -291,15 +291,18 @@ def bucket_repeats(group: pa.Table, folder: str, parts: int, window: int, gram:
     anchors = np.frombuffer(b"".join(group.column("anchors").to_pylist()), np.uint64)
     order = np.argsort(anchors)
     anchors, marks = anchors[order], np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8)[order]
-    rows = read_bucket(f"{folder}/{src}")
-    texts = Texts(rows, window, gram)
+    texts = Texts.read(f"{folder}/{src}")
+    texts.anchor(window, gram)
+    rows_of: list[list[int]] = [[] for _ in texts.lengths]
+    for row, (_, text_of) in enumerate(texts.rows):
+        rows_of[text_of].append(row)
     at = np.minimum(np.searchsorted(anchors, texts.anchors), len(anchors) - 1)
     place = np.flatnonzero(texts.valid & (anchors[at] == texts.anchors))
     first, n = runs_of(place, most=STREAM)
     run = intervals(texts.ids[spread(place[first], n + window - 1)], n + window - 1, window)
     text = np.searchsorted(texts.ends, place, side="right")
     start = place - texts.starts[text]
-    own = np.array([r[0] for r in texts.rows], np.int64)[text]
+    own = np.array([r[0] for r in rows_of], np.int64)[text]
     # Texts stand in the order of their first rows, so places are in the order that repeats follow.
     early = firsts(run)
     gone = np.flatnonzero(~early & (run >= 0))
@@ -309,7 +312,7 @@ def bucket_repeats(group: pa.Table, folder: str, parts: int, window: int, gram:
     k, n = runs_of(text[held], start[held])
     of, begin = text[held][k], start[held][k]
     for t, first_span, last_span in zip(*_groups(of)):
-        for row in texts.rows[t][1:]:
+        for row in rows_of[t][1:]:
             copies.append((np.full(last_span - first_span, row), begin[first_span:last_span], n[first_span:last_span]))
     put_spans(f"{folder}/{src}.repeats", *(np.concatenate(c) for c in zip(*spans, *copies)))
     sent = np.flatnonzero(early & (run >= 0) & (marks[at[place]] & _ELSEWHERE > 0))
@@ -324,7 +327,7 @@ def bucket_repeats(group: pa.Table, folder: str, parts: int, window: int, gram:
     for k, cut in by_part(part, parts):
         ids = texts.ids[spread(begins[cut], n[cut] + window - 1)]
         number, local = np.unique(ids, return_inverse=True)
-        doc_ids = [rows[i][0] for i in row[cut].tolist()]
+        doc_ids = [texts.rows[i][0] for i in row[cut].tolist()]
         words = b" ".join(texts.words[i - 1] for i in number.tolist())
         out.append((k, src, np.array([i or 0 for i in doc_ids], np.int64).tobytes(), np.array([i is not None for i in doc_ids], bool).tobytes(), row[cut].astype(np.int32).tobytes(), start[cut].astype(np.int32).tobytes(), n[cut].astype(np.int32).tobytes(), words, local.astype(np.int32).tobytes()))
     columns = list(zip(*out)) or [()] * 9
@@ -371,13 +374,14 @@ def covered(path: str, told: list[bytes], window: int) -> Iterator[pa.RecordBatc
     row, start, count = np.concatenate([spans_at(path + ".repeats"), *(np.frombuffer(b, np.int32).reshape(3, -1) for b in told)], axis=1)
     order = np.argsort(row, kind="stable")
     row, start, end = row[order], start[order], start[order] + count[order] + window - 1
-    rows = read_bucket(path)
-    edges = np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
+    texts = Texts.read(path)
+    edges = np.searchsorted(row, np.arange(len(texts.rows) + 1)).tolist()
+    get, starts = [b"", *texts.words].__getitem__, texts.starts.tolist()
     out: list[tuple] = []
     held = 0
-    for k, (doc_id, text) in enumerate(rows):
-        words = text.split()
-        n = len(words)
+    for k, (doc_id, text) in enumerate(texts.rows):
+        n = int(texts.lengths[text])
+        ids = texts.ids[starts[text] : starts[text] + n]
         a, b = edges[k], edges[k + 1]
         spans: list[dict[str, int]] = []
         if b > a:
@@ -388,9 +392,9 @@ def covered(path: str, told: list[bytes], window: int) -> Iterator[pa.RecordBatc
                 else:
                     merged.append([x, y])
             spans = [{"start": x, "end": y} for x, y in merged]
-            words = [w for (_, x), (y, _) in zip([[0, 0], *merged], [*merged, [n, n]]) for w in words[x:y]]
-        out.append((doc_id, n, n - len(words), spans, b" ".join(words).decode()))
-        held += len(text)
+            ids = np.concatenate([ids[x:y] for (_, x), (y, _) in zip([[0, 0], *merged], [*merged, [n, n]])])
+        out.append((doc_id, n, n - len(ids), spans, b" ".join(map(get, ids.tolist())).decode()))
+        held += len(out[-1][4]) + 64
         if held > 4 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
             out, held = [], 0
