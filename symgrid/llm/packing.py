@@ -26,8 +26,10 @@ from symgrid.llm.tokens import VOCABULARY, encoder
 
 CAPACITY = 4096
 #: Pieces above this share of the capacity are large.
-LARGE = 0.125
-GROUPS = 96
+LARGE = 0.25
+GROUPS = 256
+#: (share, groups) of the plans that are made until one has as few sequences as any can; each groups the large pieces.
+TRIED = ((LARGE, GROUPS), (0.375, 256), (LARGE, 1024), (0.5, 256), (0.375, 1024))
 #: Pieces of one length that one task ranks, about.
 RANKED = 1 << 18
 
@@ -185,14 +187,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE,
 
 
 def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan with fewest sequences among several numbers of groups and bounds for "large".
-
-    A bound of 1 leaves no large pieces: plain best-fit of falling lengths.
-    """
-    tried = (plan(counts, capacity, large, groups) for large, groups in [(LARGE, GROUPS), (1.0, 1), *((x, k) for x in (0.0625, 0.125, 0.25) for k in (32, 256))])
+    """The plan with fewest sequences among those of :data:`TRIED`; none after one that fills all sequences but the last."""
     best: Plan | None = None
     least = -(-sum(k * n for k, n in counts.items()) // capacity)
-    for one in tried:
+    for large, groups in TRIED:
+        one = plan(counts, capacity, large, groups)
         if best is None or one.sequences < best.sequences:
             best = one
         if best.sequences == least:

@@ -31,6 +31,8 @@ from symgrid.llm.common import map_arrow, open_file, put, slices, table, work_di
 from symgrid.llm.tokens import VOCABULARY, encoder
 
 FRAME_BYTES = 1 << 18
+#: Text bytes of a file, about: as many as a task takes well, fewer where that leaves tasks of the session idle.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -181,10 +183,17 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
     return map_arrow(paths, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def files_for(docs: DataFrame, text: str = "text") -> int:
+    """How many files to write: by the bytes of the texts, so that a file and its task don't grow with the corpus."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(1, -(-total // FILE_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAST_BYTES))
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum as read back from the files just written."""
     path = work_dir(spark, "tokens")
-    files = write_tokens(table(spark, sf_dir, "documents"), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = table(spark, sf_dir, "documents")
+    files = write_tokens(docs, path, files_for(docs))
     return read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -1,17 +1,16 @@
-"""Token ids of a public vocabulary, with bounded caches of words.
-
-The tokenizer drops white space, cuts the rest into pieces and encodes each alone, so the ids
-between two spaces may be kept. Where every character of a text belongs to :data:`SIMPLE`,
-normalising is lower-casing character by character and the cutting rule is a character class
-each; the words of those texts are looked up together, as numpy arrays, in a hash table of ids.
-Any other text goes to the library whole. Both ways give the library's own ids.
+"""Token ids of a public vocabulary, with a bounded cache of words.
+
+The tokenizer drops white space and encodes what stands between it alone, so a word's ids may be
+kept. All ids come from the library: it encodes every word that the cache doesn't hold. Words are
+looked up together, as numpy arrays, by a hash, and the bytes of each one are then compared with
+those of the word whose ids were found; a text with a word that only shares the hash of another
+goes to the library whole. So does a text with a character outside :data:`SIMPLE`, since what the
+library does to it may reach across a space.
 """
 
 from __future__ import annotations
 
 import re
-import struct
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -20,59 +19,20 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Words a table holds before it starts anew (some 60 bytes each), and pieces each generation holds (200).
-WORDS, PIECES = 500_000, 200_000
+#: Words a table holds before it starts anew (some 80 bytes each).
+WORDS = 500_000
+#: Words that the library encodes in one call.
+TOGETHER = 100
 #: Text bytes looked up together.
 BLOCK = 1 << 20
 
 
-def _classes() -> tuple[str, str, str, str]:
-    spaces = "\t\n\x0b\x0c\r \x85\xa0"
-    ok = [c for c in map(chr, range(0x300)) if len(c.lower()) == 1 and ord(c.lower()) < 0x300]
-    letters = [c for c in ok if unicodedata.category(c)[0] == "L"]
-    numbers = [c for c in ok if unicodedata.category(c)[0] == "N"]
-    return tuple("".join(map(re.escape, x)) for x in (ok, letters, numbers, spaces))  # type: ignore[return-value]
-
-
-SIMPLE, _LETTERS, _NUMBERS, _SPACES = _classes()
+SIMPLE = "".join(re.escape(c) for c in map(chr, range(0x300)) if len(c.lower()) == 1 and ord(c.lower()) < 0x300)
 _OTHER = re.compile(f"[^{SIMPLE}]|<\\|")
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-
-
-def _spelling() -> dict[int, str]:
-    """The printable characters that stand for bytes in a byte-level vocabulary."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-_SPELT = _spelling()
-
-
-class Kept:
-    """A map that forgets: two generations, the older one dropped when the younger one is full."""
-
-    def __init__(self, keep: int) -> None:
-        self.keep = keep
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that neither generation has; the others are in the younger one afterwards."""
-        if len(self.young) + len(keys) > self.keep:
-            self.old, self.young = self.young, {}
-        new = []
-        for key in keys.difference(self.young):
-            value = self.old.get(key)
-            if value is None:
-                new.append(key)
-            else:
-                self.young[key] = value
-        return new
 
 
 class Table:
-    """Ids by 64-bit word hash: open addressing in numpy arrays."""
+    """Ids and bytes of words by a 64-bit hash: open addressing in numpy arrays."""
 
     def __init__(self, most: int) -> None:
         self.most = most
@@ -85,7 +45,10 @@ class Table:
         self.first = np.zeros(self.most, np.int64)
         self.count = np.zeros(self.most, np.int64)
         self.ids = np.zeros(4 * self.most, "<u4")
-        self.entries = self.used = 0
+        self.begin = np.zeros(self.most, np.int64)
+        self.size = np.zeros(self.most, np.int64)
+        self.letters = np.zeros(8 * self.most, np.uint8)
+        self.entries = self.used = self.spelt = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -100,9 +63,29 @@ class Table:
             rows, slots = rows[on], (slots[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
-        """Enter distinct hashes that the table doesn't hold."""
-        n, data = len(hashes), np.frombuffer(b"".join(ids), "<u4")
+    def differ(self, entries: np.ndarray, sizes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Which of the words, whose bytes are ``letters`` one after the other, aren't those of ``entries``."""
+        wrong = self.size[entries] != sizes
+        if wrong.any():
+            letters = letters[np.repeat(~wrong, sizes)]
+        right = np.flatnonzero(~wrong)
+        own = sizes[right]
+        ends = np.cumsum(own)
+        same = self.letters[np.repeat(self.begin[entries[right]] - ends + own, own) + np.arange(len(letters))] == letters
+        if not same.all():
+            wrong[right[np.searchsorted(ends, np.flatnonzero(~same), side="right")]] = True
+        return np.flatnonzero(wrong)
+
+    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[bytes]) -> None:
+        """Enter words of distinct hashes that the table doesn't hold."""
+        n, data, letters = len(hashes), np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(words), np.uint8)
+        if self.spelt + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(max(len(self.letters), len(letters)), np.uint8)])
+        new = slice(self.entries, self.entries + n)
+        self.letters[self.spelt : self.spelt + len(letters)] = letters
+        self.size[new] = np.fromiter(map(len, words), np.int64, n)
+        self.begin[new] = self.spelt + np.cumsum(self.size[new]) - self.size[new]
+        self.spelt += len(letters)
         if self.used + len(data) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(data)), "<u4")])
         counts = np.fromiter(map(len, ids), np.int64, n) // 4
@@ -131,9 +114,9 @@ _BASE = 0x9E3779B97F4A7C15
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, words: int = WORDS, pieces: int = PIECES) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY, words: int = WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.words, self.pieces = Table(words), Kept(pieces)
+        self.words = Table(words)
         self.powers = np.ones(1, np.uint64)
         self.inverses = np.ones(1, np.uint64)
 
@@ -141,17 +124,17 @@ class Encoder:
         """Ids straight from the library."""
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        cut = self.tokenizer.model.tokenize
-        for piece in self.pieces.missing(pieces):
-            spelt = piece.encode().decode("latin-1").translate(_SPELT)
-            self.pieces.young[piece] = struct.pack(f"<{len(got := cut(spelt))}I", *[x.id for x in got])
-
     def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
-        cut = [_PIECES.findall(w.decode().lower()) for w in words]
-        self._learn_pieces(set().union(*cut))
-        ids = self.pieces.young.__getitem__
-        self.words.add(hashes, [b"".join(map(ids, x)) for x in cut])
+        # Short texts of many words cost the library less than as many calls; offsets tell whose the ids are.
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            part = [w.decode() for w in words[at : at + TOGETHER]]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.asarray(got.ids, "<u4")
+            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+            edges = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), begins).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        self.words.add(hashes, words, out)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.powers) < n:
@@ -186,12 +169,17 @@ class Encoder:
                     return [self.library(t.decode()) for t in texts]
             self._learn([data[starts[i] : ends[i]] for i in lost[one].tolist()], new)
             entries[lost] = self.words.find(hashes[lost])
+        sizes = ends - starts
+        wrong = self.words.differ(entries, sizes, letters[~space])
         counts = self.words.count[entries]
         after = np.cumsum(counts)
         ids = self.words.ids[np.repeat(self.words.first[entries] - after + counts, counts) + np.arange(int(after[-1]) if len(after) else 0)].tobytes()
         bounds = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
         edges = (4 * np.concatenate([[0], after])[bounds]).tolist()
-        return [ids[a:b] for a, b in zip(edges, edges[1:])]
+        out = [ids[a:b] for a, b in zip(edges, edges[1:])]
+        for k in np.unique(np.searchsorted(bounds, wrong, side="right") - 1).tolist():
+            out[k] = self.library(texts[k].decode())
+        return out
 
     def __call__(self, texts: list[str | None], end: int | None = END) -> list[bytes]:
         """Ids of each text (null: empty), with the end id appended."""

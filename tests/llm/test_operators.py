@@ -300,7 +300,7 @@ def test_lists_as_they_were(spark):
 
 
 def test_encoder_is_the_library():
-    e = tokens.Encoder(words=64, pieces=20)
+    e = tokens.Encoder(words=64)
     for i in range(0x300):
         c = chr(i)
         text = f"a{c}b {c} 1{c}2{c}{c} '{c}s X{c}"
@@ -310,6 +310,16 @@ def test_encoder_is_the_library():
     assert e([None]) == [b"\1\0\0\0"]
 
 
+def test_words_that_share_a_hash_are_told_apart():
+    e = tokens.Encoder()
+    for n in (1024, 2048, 4096):
+        one = "".join("ab"[k.bit_count() % 2] for k in range(n))
+        other = one.translate({97: "b", 98: "a"})
+        for texts in ([one, other], [other, one], [f"x {one} y", f"{other} z {other}", "plain"]):
+            assert e(texts, None) == [e.library(t) for t in texts]
+    assert e.words.entries >= 6
+
+
 def test_token_files(spark, data, docs):
     got = QUERIES["op5_token_id_files"](spark, data).toPandas().sort_values("doc_id")
     e, start = tokens.Encoder(), 0
@@ -341,6 +351,16 @@ def test_token_file_format(tmp_path):
     assert list(tokenfile.TokenFile(pa.BufferReader(empty)).documents()) == []
 
 
+def test_files_follow_the_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(40)], "doc_id long, text string")
+    assert tokenfile.files_for(docs) == tokenfile.files_for(docs.limit(0)) == 1
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 4000)
+    assert tokenfile.files_for(docs) == 10
+    monkeypatch.setattr(tokenfile, "LEAST_BYTES", 1)
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 1 << 30)
+    assert tokenfile.files_for(docs) == 4
+
+
 def test_token_files_odd(spark, odd, tmp_path):
     files = tokenfile.write_tokens(odd, str(tmp_path / "t"), 3)
     rows = tokenfile.read_tokens(spark, files).orderBy("start").collect()
