@@ -1,17 +1,23 @@
 """Main text of web pages with a site style tree.
 
 The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids are
-one style node. A node is worth keeping if what it looks like or what it says differs between
-pages: with m distinct pages,
-
-    importance = (1 - g^l) * H(child sequences) + g^l * H(contents),
-
-where H is entropy to the base m, l the number of different child sequences and g = 0.9. Nodes
-below :data:`NOISE` on :data:`PAGES` or more distinct pages are navigation, notices and the
-like, if the entropy of their own text and all style nodes below them are so too: their branches
-are cut from every page. Elements whose tag, role, class or id says
-what they are go in any case, so a host with a single page is cleaned too. The article itself
-and its paragraphs are never cut by their importance.
+one style node. With m distinct pages that have the node, its importance is that of what it looks
+like and of what it holds, from the leaves up:
+
+    text:      1 - mean over its distinct pieces of log_m(pages that have the piece)
+    style node: (1 - g^l) * H(child sequences) + g^l * mean(importance of its text and child nodes),
+
+where H is entropy to the base m, l the number of child nodes (its own text is one) and g = 0.9.
+What is the same on all pages comes to 0, what every page has for itself to 1. A node on
+:data:`PAGES` or more distinct pages is noise if it and everything below it, texts included, is
+below :data:`NOISE`; its branch is cut from every page. Hosts with fewer distinct pages have no
+tree of their own: their pages are merged into one tree of all such hosts, which knows the
+boilerplate of the templates they share.
+
+Importance can't tell an advert or a reader's comment, which differ from page to page, from an
+article. So elements whose tag or role is not an article's (navigation, forms, scripts, ...) and
+those with a class or id that names them as clutter go too, unless they hold the article, the
+page's main part or its title: then they are wrappers, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,6 +38,10 @@ DECAY, NOISE, PAGES = 0.9, 0.2, 5
 BROADCAST_NODES = 100_000
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|/([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Weight of an article, main part or title among what an element holds; of paragraphs each counts one.
+_WHOLE = 1 << 20
+#: Elements that never are wrappers of an article.
+_ASIDE = frozenset("head script style noscript template nav footer header aside button select option textarea input iframe object embed applet svg math canvas audio video dialog menu map noframes datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source td th".split())
@@ -47,8 +57,15 @@ _NOISY = re.compile(
     r"pagination|pager|skip|toolbar|outbrain|taboola|rail|hidden|visually-hidden|sr-only|print-only)(?:$|[\s_-])",
     re.I,
 )
+#: A class that says what an element or its page has, has not or stands beside isn't the name of the element itself.
+_STATE = re.compile(r"^(?:no|has|with|without|is|page|layout|template|single|body|site|not|show|hide|left|right|col)[_-]|[_-](?:with|without|has|no)[_-]", re.I)
+#: Open elements at most, as in browsers; what is nested deeper counts as a child of the last one.
+DEPTH = 512
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_FIXED = frozenset("html body main article p pre blockquote h1 h2 h3 h4 h5 h6".split())
+_FIXED = frozenset("html body main article".split())
+#: What is no part of a page's looks or contents.
+_NOTHING = frozenset("head script style noscript template".split())
+_NO_ARTICLE = re.compile(r"(?:^|[_-])(?:comment|reply|related|promo|ad)(?:$|[_-])", re.I)
 _BODY = re.compile(r"(?:^|\s)(?:article-?body|post-?content|entry-?content|article-?content|story-?body|article|post|entry|content|main|main-?content)(?:$|\s)", re.I)
 
 
@@ -69,11 +86,12 @@ def _element(tag: str, written: str, parent: Node) -> Node:
             kept.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
     style = " ".join(sorted(kept.get("class", "").split()))
     mark = f"{kept.get('class', '')} {kept.get('id', '')}"
+    named = lambda pattern: any(pattern.search(x) and not _STATE.search(x) for x in mark.split())
     drop = tag in _DROPPED or "hidden" in kept or kept.get("aria-hidden", "").lower() == "true" or kept.get("role", "").lower() in _ROLES
     if not drop and tag not in ("html", "body", "main", "article") and mark != " ":
-        drop = _NOISY.search(mark) is not None
+        drop = named(_NOISY)
     elif tag == "article" and mark != " ":  # a reader's comment may be an article of its own
-        drop = re.search(r"(?:^|[\s_-])(?:comment|reply|related|promo|ad)(?:$|[\s_-])", mark, re.I) is not None
+        drop = named(_NO_ARTICLE)
     if not drop and "style" in kept:
         drop = re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", kept["style"], re.I) is not None
     body = 3 if tag == "article" else 2 if tag == "main" or kept.get("role", "").lower() == "main" else 1 if kept.get("itemprop", "").lower() == "articlebody" or (mark != " " and _BODY.search(mark)) else 0
@@ -85,6 +103,13 @@ def parsed(html: str) -> Node:
     root = Node("", 0, False, 0)
     stack = [root]
     at, n = 0, len(html)
+    opened: dict[str, int] = {}
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
@@ -95,18 +120,20 @@ def parsed(html: str) -> Node:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
+            if not opened.get(tag):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in _INLINE and stack[k].tag in _SCOPE:
                     break
         elif m[2]:
             tag = m[2].lower()
-            if tag in _ENDS_P:
+            if tag in _ENDS_P and opened.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag in _SCOPE:
                         break
@@ -116,7 +143,7 @@ def parsed(html: str) -> Node:
                     if stack[k].tag in scope:
                         break
                     if stack[k].tag == ends or stack[k].tag in ends and type(ends) is tuple:
-                        del stack[k:]
+                        close(k)
                         break
             if tag == "br":
                 stack[-1].children.append(" ")
@@ -127,11 +154,29 @@ def parsed(html: str) -> Node:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
                 node.children.append(html[at : end.start() if end else n])
                 at = end.end() if end else n
-            elif tag not in _VOID and not m[3].endswith("/"):
+            elif tag not in _VOID and not m[3].endswith("/") and len(stack) < DEPTH:
                 stack.append(node)
+                opened[tag] = opened.get(tag, 0) + 1
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Wrappers of an article, a main part or a page's title, and forms around paragraphs, aren't clutter."""
+    order = [root]
+    for node in order:
+        # What a dropped article or a heading in an aside holds is no reason to spare what is around it.
+        order.extend(c for c in node.children if type(c) is Node)
+    holds: dict[int, int] = {}
+    for node in reversed(order):
+        inside = sum(holds.get(id(c), 0) for c in node.children if type(c) is Node)
+        if node.drop and inside and (node.tag == "form" and inside >= 2 or inside >= _WHOLE and node.tag not in _ASIDE):
+            node.drop = False
+        if not node.drop:
+            own = _WHOLE if node.body >= 2 or node.tag == "h1" else 1 if node.tag == "p" else 0
+            holds[id(node)] = inside + own
+
+
 def _bodies(root: Node) -> list[Node]:
     """The outermost elements that hold the article; the whole page if nothing says so."""
     best, found = 0, [root]
@@ -203,69 +248,82 @@ def main_text(html: str | None, noise: frozenset[int] = frozenset()) -> str:
     return text or "\n".join(b for body in bodies for b in _blocks(body, frozenset()))
 
 
-def style_nodes(html: str) -> tuple[int, list[tuple[int, int, int, int, int]]]:
-    """Hash of a page's content, and of every style node (path, path of the style node above or 0, hash of child
-    sequence, hash of content, hash of its own text). What is in dropped elements is content, but no style node.
+def style_nodes(html: str) -> tuple[int, list[tuple[int, int, int, list[int]]]]:
+    """Hash of a page's texts, and of every style node (path, path of the style node above or 0, hash of its child
+    sequence, hashes of the pieces of its own text). Inline elements belong to the style node around them.
     """
-    root = parsed(html)
-    order: list[tuple[Node, int | None]] = []
-    todo: list[tuple[Node, int | None]] = [(root, 0)]
+    merged: dict[int, tuple[int, list[bytes], dict[bytes, None]]] = {}
+    todo: list[tuple[Node, int]] = [(c, 0) for c in reversed(parsed(html).children) if type(c) is Node]
     while todo:
         node, up = todo.pop()
-        order.append((node, up))
-        below = None if node.drop else up if node.tag in _INLINE or up is None else node.path
-        todo.extend((c, below) for c in node.children if type(c) is Node)
-    content: dict[int, bytes] = {}
-    inline: dict[int, bytes] = {}  # the text of inline elements belongs to the style node around them
-    merged: dict[int, tuple[int, list[bytes], list[bytes], list[bytes]]] = {}
-    for node, up in reversed(order):  # children before parents
-        words: list[bytes] = []
+        if node.tag in _NOTHING:
+            continue
+        own = merged.setdefault(node.path, (up, [], {}))
         look: list[bytes] = []
-        text: list[bytes] = []
-        for child in node.children:
+        said: list[str] = []
+
+        def piece() -> None:
+            words = " ".join("".join(said).split())  # noqa: B023
+            if words:
+                own[2][words.encode("utf-8", "replace")] = None  # noqa: B023
+            said.clear()  # noqa: B023
+
+        inner: list[Node | str] = list(reversed(node.children))
+        below: list[tuple[Node, int]] = []
+        while inner:
+            child = inner.pop()
             if type(child) is str:
-                words.append(" ".join(child.split()).encode("utf-8", "replace"))
-                text.append(words[-1])
+                said.append(child)
+            elif child.tag in _INLINE:
+                inner.extend(reversed(child.children))
             else:
-                words.append(content[id(child)])
+                piece()
                 kind = child.path.to_bytes(8, "little")
-                if child.tag not in _INLINE and (not look or look[-1] != kind):
+                if child.tag not in _NOTHING and (not look or look[-1] != kind):
                     look.append(kind)
-                elif child.tag in _INLINE and not child.drop:
-                    text.append(inline[id(child)])
-        content[id(node)] = xxhash.xxh64_digest(b"\0".join(words))
-        said = b"\0".join(filter(None, text))
-        if node.tag in _INLINE:
-            inline[id(node)] = said
-        elif node.tag and not node.drop and up is not None:
-            own = merged.setdefault(node.path, (up, [], [], []))
-            own[1].append(b"".join(look))
-            own[2].append(content[id(node)])
-            if said:
-                own[3].append(said)
+                below.append((child, node.path))
+        piece()
+        own[1].append(b"".join(look))
+        todo.extend(reversed(below))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    digest = lambda x: signed(xxhash.xxh64_intdigest(b"|".join(x)))
-    return signed(int.from_bytes(content[id(root)], "little")), [(signed(p), signed(up), digest(a), digest(b), digest(c)) for p, (up, a, b, c) in merged.items()]
+    digest = lambda x: signed(xxhash.xxh64_intdigest(x))
+    page = digest(b"\0".join(t for _, _, texts in merged.values() for t in texts))
+    return page, [(signed(p), signed(up), digest(b"|".join(look)), [digest(t) for t in texts]) for p, (up, look, texts) in merged.items()]
 
 
-def _without_holders(nodes: list[dict]) -> list[int]:
-    """The low nodes of a site but those above one that isn't low."""
-    up = {x["node"]: x["up"] for x in nodes}
+def noise_of(nodes: list[dict], noise: float = NOISE) -> list[int]:
+    """The style nodes of a site that are of low importance with everything below them.
+
+    ``nodes`` are those on enough pages: node, up, look (entropy of child sequences), pieces and
+    own (number and importance of its texts), rare (child nodes on too few pages, which are
+    important).
+    """
+    below: dict[int, list[int]] = {}
+    by = {x["node"]: x for x in nodes}
     for x in nodes:
-        node = x["node"] if x["held"] else None
-        while node in up:
-            node = up.pop(node)
-    return list(up)
+        below.setdefault(x["up"] if x["up"] in by else 0, []).append(x["node"])
+    order = list(below.get(0, ()))
+    for node in order:
+        order.extend(below.get(node, ()) if node else ())
+    rated: dict[int, tuple[float, bool]] = {}
+    for node in reversed(order):
+        x = by[node]
+        parts = [rated[c] for c in below.get(node, ())] + [(x["own"], x["own"] < noise)] * (x["pieces"] > 0)
+        n = len(parts) + x["rare"]
+        share = DECAY**n
+        importance = (1 - share) * x["look"] + share * (sum(v for v, _ in parts) + x["rare"]) / max(1, n)
+        rated[node] = importance, importance < noise and not x["rare"] and all(low for _, low in parts)
+    return [node for node, (_, low) in rated.items() if low]
 
 
 def noise_nodes(pages: DataFrame, least: int = PAGES, noise: float = NOISE) -> DataFrame:
-    """(site, nodes): the style nodes of each site that are of low importance with all that is below them; ``pages``
-    has site and html.
+    """(site, nodes): the noise of each site's tree; ``pages`` has site and html.
 
-    Equal pages of a site count once. Counts are combined before each shuffle, so a host with a
-    third of all pages is many small partial counts.
+    Sites of fewer than ``least`` distinct pages come as one, the site ``""``. Equal pages of a
+    site count once. Counts are combined before each shuffle, so a host with a third of all pages
+    is many small partial counts; of a site only the nodes on ``least`` pages meet in a task.
     """
-    schema = pa.schema([("site", pa.string()), *((c, pa.int64()) for c in ("page", "node", "up", "look", "content", "own"))])
+    schema = pa.schema([("site", pa.string()), *((c, pa.int64()) for c in ("page", "node", "up", "look")), ("own", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
@@ -273,43 +331,52 @@ def noise_nodes(pages: DataFrame, least: int = PAGES, noise: float = NOISE) -> D
             for site, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 page, nodes = style_nodes(html)
                 rows += [(site, page, *x) for x in nodes]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, schema.types)], schema=schema)
 
-    rows = map_arrow(pages.where("site is not null and html is not null").select("site", "html"), run, "site string, page long, node long, up long, look long, content long, own long")
+    rows = map_arrow(pages.where("site is not null and html is not null").select("site", "html"), run, "site string, page long, node long, up long, look long, own array<long>")
     # Of equal pages of a site one stays; which one makes no difference.
-    each = rows.groupBy("site", "page", "node").agg(*(F.first(c).alias(c) for c in ("up", "look", "content", "own")))
-    log = F.col("n") * F.log("n")
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("look", "content", "own"))))
+    each = stored(rows.groupBy("site", "page", "node").agg(*(F.first(c).alias(c) for c in ("up", "look", "own"))), "style-nodes")
+    sizes = each.groupBy("site").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") < least).select("site", F.lit(True).alias("few"))
+    sizes = stored(sizes, "small-sites")
+    each = each.join(F.broadcast(sizes) if small(sizes, BROADCAST_NODES) else sizes, "site", "left").withColumn("site", F.when(F.col("few"), "").otherwise(F.col("site")))
+    kinds = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value"))), F.transform("own", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("value"))))
     # A path has one path above it.
     counts = each.select("site", "node", "up", F.explode(kinds).alias("x")).groupBy("site", "node", "x").agg(F.count("*").alias("n"), F.first("up").alias("up"))
     kind = lambda k, x: F.sum(F.when(F.col("x.kind") == k, x).otherwise(0))
-    nodes = counts.groupBy("site", "node").agg(F.first("up").alias("up"), kind(0, F.col("n")).alias("m"), kind(0, log).alias("look"), kind(1, log).alias("content"), kind(2, log).alias("own"), kind(0, F.lit(1)).alias("l"))
-    entropy = lambda c: 1 - F.col(c) / F.nullif(F.col("m") * F.log("m"), F.lit(0.0))
-    share = F.pow(F.lit(DECAY), F.col("l"))
-    low = F.coalesce((F.col("m") >= least) & ((1 - share) * entropy("look") + share * entropy("content") < noise) & (entropy("own") < noise), F.lit(False))
-    # A low node is listed with the node above it, any other one holds the node above it.
-    listed = F.struct(F.col("node"), F.col("up"), F.lit(False).alias("held"))
-    holds = F.struct(F.col("up").alias("node"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("held"))
-    marks = nodes.select("site", F.when(low, listed).otherwise(holds).alias("x")).groupBy("site", "x.node").agg(F.max("x.up").alias("up"), F.max("x.held").alias("held"))
-    lows = marks.where("up is not null").groupBy("site").agg(F.collect_list(F.struct("node", "up", "held")).alias("nodes"))
+    nodes = counts.groupBy("site", "node").agg(
+        F.first("up").alias("up"), kind(0, F.col("n")).alias("m"), kind(0, F.col("n") * F.log("n")).alias("looks"), kind(1, F.lit(1)).alias("pieces"), kind(1, F.log("n")).alias("said")
+    )
+    often = F.col("m") >= least
+    zero = F.lit(0.0)
+    look = 1 - F.coalesce(F.col("looks") / F.nullif(F.col("m") * F.log("m"), zero), zero)
+    own = 1 - F.coalesce(F.col("said") / F.nullif(F.col("pieces") * F.log("m"), zero), zero)
+    listed = F.struct("node", "up", look.alias("look"), F.col("pieces"), own.alias("own"), F.lit(0).alias("rare"))
+    # A node on too few pages only adds to the count of the node above it.
+    holds = F.struct(F.col("up").alias("node"), F.lit(None).cast("long").alias("up"), zero.alias("look"), F.lit(0).cast("long").alias("pieces"), zero.alias("own"), F.lit(1).alias("rare"))
+    marks = nodes.select("site", F.when(often, listed).otherwise(holds).alias("x")).groupBy("site", "x.node").agg(*(F.max(f"x.{c}").alias(c) for c in ("up", "look", "pieces", "own")), F.sum("x.rare").alias("rare"))
+    trees = marks.where("up is not null").groupBy("site").agg(F.collect_list(F.struct("node", "up", "look", "pieces", "own", "rare")).alias("nodes"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_without_holders, part.column(1).to_pylist()), pa.list_(pa.int64()))], names=["site", "nodes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([noise_of(x, noise) for x in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["site", "nodes"])
 
-    return map_arrow(lows, cut, "site string, nodes array<long>")
+    return map_arrow(trees, cut, "site string, nodes array<long>").where("size(nodes) > 0").withColumn("few", F.lit(False)).unionByName(sizes.select("site", F.lit(None).cast("array<long>").alias("nodes"), "few"))
 
 
 def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """(every column of ``pages`` but the html, text): the main text of each page.
 
     Null and empty html gives an empty text; a null or unparsable url makes a page of no site,
-    cleaned by its own tags alone; repeated rows are kept; an empty table gives an empty result.
+    cleaned by its own tags alone; sites of few distinct pages share a tree; columns may have any name; repeated rows are kept; an empty table gives an empty result.
     """
     keep = [c for c in pages.columns if c not in (html, "text")]
     # The other columns travel as one, so that their names can't clash.
     named = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(html).cast("string").alias("html"), F.nullif(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit("")).alias("site"))
-    noise = stored(noise_nodes(named.select("site", "html")), "noise")
+    found = stored(noise_nodes(named.select("site", "html")), "noise")
+    # Sites without a tree of their own take the common one.
+    common = [r["nodes"] for r in found.where("site = '' and not few").select("nodes").collect()]
+    own = F.when(F.col("few"), F.lit(common[0] if common else []).cast("array<long>")).otherwise(F.col("nodes"))
+    noise = found.where("site <> ''").select("site", own.alias("nodes"))
     few = small(noise, BROADCAST_NODES) and (noise.agg(F.sum(F.size("nodes"))).first()[0] or 0) <= BROADCAST_NODES
     joined = named.join(F.broadcast(noise) if few else noise, "site", "left").select("row", "html", "nodes")
     schema = joined.select("row").withColumn("text", F.lit("")).schema

@@ -114,6 +114,75 @@ def test_site_tree_keeps_nodes_with_important_ones_below(spark):
         assert got[i] == f"Title {i}\n{rare}Story {i}\n{rare}Own word {i}"
 
 
+def test_wrappers_of_the_article_are_not_clutter():
+    for html, want in {
+        '<div class="content-area no-sidebar"><p>a</p></div>': "a", '<div class="layout has-sidebar"><article><p>b</p></article><div class=sidebar>x</div></div>': "b", '<div class="page-with-header"><p>c</p></div>': "c",
+        "<form action=/><div><p>d</p><p>e</p></div></form>": "d\ne", '<article><div class="entry-header"><h1>Title</h1></div><p>f</p></article>': "Title\nf", '<div class=header><div><h1>Top</h1></div></div><p>g</p>': "Top\ng", "<div class=sidebar><p>x</p></div><p>h</p>": "h",
+    }.items():
+        assert sitetree.main_text(html) == want, html
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<i>" * 30_000 + "</x>" * 30_000, "<b><div>" + "<i>" * 30_000 + "</b>" * 30_000, "<p>" + "<i>" * 30_000 + "<span>" * 30_000 + "end"):
+        assert sitetree.main_text(html) in ("", "end")
+    assert time.time() - began < 60
+
+
+def naive_noise(pages, least, noise):
+    """The noise of one site by the formulas, over its distinct pages."""
+    import math
+
+    trees = dict(sitetree.style_nodes(h) for h in pages)
+    at = {}
+    for tree in trees.values():
+        for path, up, look, own in tree:
+            at.setdefault((path, up), []).append((look, own))
+    m = {path: len(x) for (path, _), x in at.items()}
+    up = {path: u for path, u in at}
+
+    def entropy(values, base):
+        return -sum(n / len(values) * math.log(n / len(values), base) for n in Counter(values).values()) if base > 1 else 1.0
+
+    def rated(path):
+        seen = at[path, up[path]]
+        if m[path] < least:
+            return 1.0, False
+        parts = [rated(p) for p in m if up[p] == path]
+        pages_of = Counter(t for _, own in seen for t in own)
+        if pages_of:
+            own = 1 - sum(math.log(n, m[path]) for n in pages_of.values()) / len(pages_of)
+            parts.append((own, own < noise))
+        share = sitetree.DECAY ** len(parts)
+        value = (1 - share) * entropy([look for look, _ in seen], m[path]) + share * sum(v for v, _ in parts) / max(1, len(parts))
+        return value, value < noise and all(low for _, low in parts)
+
+    return {p for p in m if rated(p)[1]}
+
+
+def test_site_trees_are_those_of_brute_force(spark):
+    r = np.random.default_rng(11)
+
+    def page(k):
+        menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ("home", "news", "about"))
+        extra = "".join(f"<div class=box{b}>{'same' if b % 2 else r.integers(1e9)}</div>" for b in r.integers(0, 8, r.integers(0, 4)))
+        own = "".join(f"<p>Sentence {r.integers(1e9)} of <b>words</b></p>" for _ in range(r.integers(1, 4)))
+        return f"<html><body><div class=top><ul>{menu}</ul><span>Site {k}</span></div><div class=wrap>{extra}<div class=text>{own}<div class=legal>All rights</div></div></div></body></html>"
+
+    rows = [(site, page(site)) for site, n in (("a", 60), ("b", 7), ("c", 3), ("d", 2), ("e", 4)) for _ in range(n)]
+    rows += rows[:5]
+    got = {x["site"]: x["nodes"] for x in sitetree.noise_nodes(spark.createDataFrame(rows, "site string, html string")).collect()}
+    for site, hosts in (("a", "a"), ("b", "b"), ("", "cde")):
+        want = naive_noise([h for s, h in rows if s in hosts], sitetree.PAGES, sitetree.NOISE)
+        assert set(got[site]) == want and want, site
+    assert got["c"] is got["d"] is got["e"] is None
+    pages = spark.createDataFrame([(i, f"http://{s}/x", h) for i, (s, h) in enumerate(rows)], "page_id long, url string, html string")
+    texts = [x["text"] for x in sitetree.extracted(pages).collect()]
+    assert all("Sentence" in t and "All rights" not in t and "home" not in t for t in texts)
+
+
 # 2 ------------------------------------------------------------------------------------------
 
 
@@ -303,7 +372,7 @@ def test_encoder_is_the_library():
     e = tokens.Encoder(words=64)
     for i in range(0x300):
         c = chr(i)
-        text = f"a{c}b {c} 1{c}2{c}{c} '{c}s X{c}"
+        text = f"a{c}b {c} 1{c}2{c}{c} '{c}s X{c} x{c}, a.{c}? {c}.{c}; don't,{c} it's.{c}'S!"
         assert e([text], None)[0] == e.library(text), hex(i)
     for text in ("don't it'S <|endoftext|> x", "İstanbul ǅ ẞ ſ", "éa 日本 café", "", "x\x1cy\x85z\xa0w", LONG[:5000], " "):
         assert e([text, "and more"], None)[0] == e.library(text)
