@@ -14,14 +14,16 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import map_arrow, slices, table
+from symgrid.llm.common import drop_dir, map_arrow, slices, table, work_dir
 
+T = TypeVar("T")
 WIDTH = 5
 CONTAINMENT = 0.8
 #: Items, and bytes of their texts, of one block: the only thing that goes to every executor.
@@ -48,32 +50,51 @@ def size_class(n: int) -> int:
 
 
 class Index:
-    """Signatures and shingles of a block of items."""
+    """Signatures and shingles of a block of items, by the width of their shingles: ``width`` words, or all of a shorter item."""
 
     def __init__(self, items: Iterable[tuple[int | None, str | None]], width: int = WIDTH, containment: float = CONTAINMENT) -> None:
-        self.width, self.containment = width, containment
         self.vocabulary: dict[str, int] = {}
         self.items: list[int | None] = []
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for item, text in dict.fromkeys(items):
+            words = words_of(text)
+            if words:
+                ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
+                by_width.setdefault(min(width, len(words)), []).append((len(self.items), ids))
+                self.items.append(item)
+        self.parts = [Part(w, own, containment) for w, own in sorted(by_width.items())]
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """(row of ``texts``, item, shingles of it in the text, its shingles) for every contained item."""
+        if not self.items:
+            return []
+        get = self.vocabulary.get
+        cut = [np.fromiter(map(get, words, repeat(0)), np.int64, len(words)) for words in map(words_of, texts)]
+        return [x for part in self.parts for x in part.search(cut)]
+
+
+class Part:
+    """The items of a block whose shingles have one width."""
+
+    def __init__(self, width: int, items: list[tuple[int, np.ndarray]], containment: float) -> None:
+        self.width, self.containment = width, containment
+        self.numbers: list[int] = []
         self.hashes: list[np.ndarray] = []
         self.shingles: list[np.ndarray] = []
         marks: list[np.ndarray] = []
         owners: list[np.ndarray] = []
-        for item, text in dict.fromkeys(items):
-            words = words_of(text)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            if len(ids) < width:
-                continue
+        for number, ids in items:
             hashes, first = np.unique(self.rolled(ids), return_index=True)
             upper = size_class(len(hashes))
             k = min(len(hashes), upper - needed(upper, containment) + 1)
-            self.items.append(item)
+            self.numbers.append(number)
             self.hashes.append(hashes)
             self.shingles.append(np.stack([ids[first + j] for j in range(width)], 1))
             marks.append(hashes[:k])
-            owners.append(np.full(k, len(self.items) - 1))
-        mark = np.concatenate(marks or [np.zeros(0, np.uint64)])
+            owners.append(np.full(k, len(self.numbers) - 1))
+        mark = np.concatenate(marks)
         order = np.argsort(mark, kind="stable")
-        self.marks, self.owners = mark[order], np.concatenate(owners or [np.zeros(0, np.int64)])[order]
+        self.marks, self.owners = mark[order], np.concatenate(owners)[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.marks >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -89,17 +110,13 @@ class Index:
         out *= np.uint64(0x94D049BB133111EB)
         return out ^ (out >> np.uint64(32))
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(row of ``texts``, item, shingles of it in the text, its shingles) for every contained item."""
-        if not self.items:
-            return []
-        cut = [words_of(t) for t in texts]
+    def search(self, cut: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """As :meth:`Index.search`, of the numbers of the words of texts, 0 for words of no item."""
         gap = self.width - 1
         starts = np.cumsum([0, *(len(w) + gap for w in cut)])
         ids = np.zeros(int(starts[-1]) + 1, np.int64)
-        get = self.vocabulary.get
         for words, at in zip(cut, starts.tolist()):
-            ids[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+            ids[at : at + len(words)] = words
         hashes = self.rolled(ids)
         known = np.ones(len(hashes), bool)
         for j in range(self.width):
@@ -122,7 +139,7 @@ class Index:
                 same &= ids[where[at] + j] == self.shingles[owner][:, j]
             shared = int(same.sum())
             if shared >= needed(len(same), self.containment):
-                found.append((row, owner, shared, len(same)))
+                found.append((row, self.numbers[owner], shared, len(same)))
         return found
 
 
@@ -141,8 +158,9 @@ def blocks(items: DataFrame, text: str, id: str) -> Iterator[list[tuple[int | No
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) for every text that holds ``containment`` of an item's word shingles.
 
-    Words are lower-cased runs of letters and digits, shingles are distinct. Items of fewer than
-    ``width`` words have no shingle and match nothing, nor do null or shorter texts. Repeated
+    Words are lower-cased runs of letters and digits, shingles are distinct. An item of fewer than
+    ``width`` words is one shingle of all of them; one without words matches nothing, nor do null
+    texts. Repeated
     items count once, repeated documents each give their rows, null ids stay null, other columns
     are ignored and an empty table on either side gives an empty result. Documents don't move:
     each block of items, bounded in size, is sent to where they are, one pass over them a block.
@@ -150,8 +168,9 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, conta
     spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())])
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
-    for block in blocks(items, item_text, item_id):
+    found_in = work_dir(spark, "contained")
+    ddl = "doc_id long, item_id long, n_shared long, n_item long"
+    for number, block in enumerate(blocks(items, item_text, item_id)):
         shared = spark.sparkContext.broadcast(Index(block, width, containment))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -161,15 +180,19 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, conta
                 found = [(ids[row], index.items[owner], n, of) for row, owner, n, of in index.search(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 4, schema.types)], schema=schema)
 
-        part = map_arrow(rows, run, "doc_id long, item_id long, n_shared long, n_item long")
-        out = part if out is None else out.unionByName(part)
-    assert out is not None
-    return out
+        map_arrow(rows, run, ddl).write.parquet(f"{found_in}/{number}")
+        shared.destroy()
+    return spark.read.schema(ddl).option("recursiveFileLookup", True).parquet(found_in)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that contain no item, as :func:`contained_items` tells; nothing moves."""
-    for block in blocks(items, item_text, item_id):
+    """The rows of ``docs`` that contain no item, as :func:`contained_items` tells; nothing moves.
+
+    A block of items is a pass over what is left. All but the last one write it, so that one block
+    at a time is on the executors.
+    """
+    spark, before = docs.sparkSession, None
+    for block, last in marked_last(blocks(items, item_text, item_id)):
         shared = docs.sparkSession.sparkContext.broadcast(Index(block, width, containment))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -177,22 +200,41 @@ def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, contain
                 found = {x[0] for x in shared.value.search(part.column(part.schema.get_field_index(text)).to_pylist())}
                 yield part.filter(pa.array([k not in found for k in range(part.num_rows)], pa.bool_()))
 
-        docs = map_arrow(docs, run, docs.schema)
+        schema = docs.schema
+        docs = map_arrow(docs, run, schema)
+        if not last:
+            path = work_dir(spark, "unleaked")
+            docs.write.parquet(f"{path}/rows")
+            shared.destroy()
+            if before:
+                drop_dir(spark, before)
+            docs, before = spark.read.schema(schema).parquet(f"{path}/rows"), path
     return docs
 
 
+def marked_last(things: Iterable[T]) -> Iterator[tuple[T, bool]]:
+    """Each thing and whether it is the last one."""
+    held: list[T] = []
+    for thing in things:
+        if held:
+            yield held.pop(), False
+        held.append(thing)
+    if held:
+        yield held.pop(), True
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair of at least 0.8 containment."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OP6_SQL = r"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
-dx AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM dw),
-ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, n, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM dx) WHERE i + 4 <= n),
-iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
-ix AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM iw),
-bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, n, i, string_agg(w, ' ') OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM ix) WHERE i + 4 <= n),
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+ix AS (SELECT item_id, len(ws) AS n, least(5, len(ws)) AS k, ws, unnest(range(1, len(ws) + 1)) AS i FROM iw WHERE len(ws) > 0),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s FROM ix WHERE i + k - 1 <= n),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+dx AS (SELECT doc_id, len(ws) AS n, ws, unnest(range(1, len(ws) + 1)) AS i FROM dw),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s FROM dx, (SELECT DISTINCT k FROM bs) WHERE i + k - 1 <= n),
 bn AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
-SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM ds JOIN bs USING (s) JOIN bn USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item
+SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM ds JOIN bs USING (k, s) JOIN bn USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item
 """

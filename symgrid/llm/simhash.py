@@ -52,14 +52,15 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def with_fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", *keep: str) -> DataFrame:
+    """(doc_id, fp) of every row, and its longs ``keep``; fp is the fingerprint as a signed long."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *keep)])
 
     def rows(columns: list[list]) -> list[list]:
-        return [columns[0], [x - (1 << 64) if x >> 63 else x for x in map(fingerprint, columns[1])]]
+        return [columns[0], [x - (1 << 64) if x >> 63 else x for x in map(fingerprint, columns[1])], *columns[2:]]
 
-    return map_rows(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), ["doc_id", "text"], rows, schema, "doc_id long, fp long", raw=True)
+    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
+    return map_rows(own, ["doc_id", "text", *keep], rows, schema, ", ".join(f"{c} long" for c in schema.names), raw=True)
 
 
 def covering_masks(radius: int = RADIUS, family: int = 0) -> list[int]:
@@ -130,27 +131,40 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", i
     other. Other columns are ignored; an empty table gives an empty result.
     """
     prints = stored(with_fingerprints(docs, text, id), "simhash")
-    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    roots = connected_components(links(reps.select("fp"), radius))
-    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, radius)
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, rep, root) of every fingerprint: its smallest doc_id and the fingerprint its component is named by."""
+    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    roots = connected_components(links(reps.select("fp"), radius))
+    return reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Of rows with one doc_id one stays. Rows without a doc_id can't be named as a group's first:
-    those of equal text count as one and one of them stays.
+    Of several rows with that doc_id, the one whose text has the smallest fingerprint and then
+    XXH64 stays, and one of equal texts. Rows without a doc_id take part in groups but never stand
+    for one that has a doc_id; of a group of such rows alone one stays. Columns may have any name; an
+    empty table gives an empty result.
     """
-    found = near_duplicates(docs, radius, text, id).where("doc_id = component_id").groupBy("doc_id").count()
-    first = stored(found, "simhash-first")
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    hashed = named.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))
+    # What stands for a group is the least (doc_id, mark): texts don't move, and every row of a group counts before the shuffle.
+    prints = stored(with_fingerprints(hashed, "text", "doc_id", "mark"), "simhash")
+    rooted = _rooted(prints, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "mark"))
+    small_marks = prints.groupBy("fp").agg(first.alias("x")).join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
+    chosen = stored(small_marks.select("x.doc_id", "x.mark"), "simhash-first")
     # Names of kept documents grow with the corpus: they are never broadcast, so every size has the same plan.
-    rows = docs.join(first.select(F.col("doc_id").alias("_first")).hint("merge"), docs[id].cast("long") == F.col("_first"), "left_semi")
-    if first.where("count > 1").head(1):
-        rows = rows.dropDuplicates([id])
-    nameless = docs.where(F.col(id).isNull())
-    return rows.unionByName(nameless.dropDuplicates([text])) if nameless.head(1) else rows
+    own = named.select("row", "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))
+    kept = own.join(chosen.hint("merge"), own["doc_id"].eqNullSafe(chosen["doc_id"]) & (own["mark"] == chosen["mark"]), "left_semi")
+    if prints.groupBy("doc_id", "mark").count().where("count > 1").head(1):
+        kept = kept.dropDuplicates(["doc_id", "mark"])
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import map_arrow, stored, table
+from symgrid.llm.common import map_arrow, stored, table, work_dir
 
 K = 5
 #: Queries of a block, by their bytes; vectors that give the first thresholds; vectors the rotation is fitted on.
@@ -27,6 +27,7 @@ BLOCK_BYTES, SEEDS, SAMPLE = 16 << 20, 1024, 4096
 HEAD = 0.25
 BATCH = 2048
 EXACT = float(1 << 53)
+_BEST = "q long, query_id long, score long, vec_id long"
 
 
 class Best:
@@ -111,8 +112,8 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = K, vector: str =
     rows = rows.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = stored(rows.repartitionByRange(parts, F.desc("norm")).sortWithinPartitions(F.desc("norm"), "vec_id"), "vectors")
-    out = spark.createDataFrame([], "q long, query_id long, score long, vec_id long")
-    number = 0
+    found, number = work_dir(spark, "best"), 0
+    spark.createDataFrame([], _BEST).write.parquet(f"{found}/none")
     for (dimension,) in data.select(F.size("x")).distinct().collect():
         own = data.where(F.size("x") == dimension)
         fixed = lambda got: (np.array([r.vec_id for r in got], np.int64), np.array([r.x for r in got], float).reshape(len(got), -1))
@@ -141,8 +142,11 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = K, vector: str =
                 best = search(q, ids, rotation, floor, parts(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(best.query + first), pa.array(ids[best.query]), pa.array(best.score), pa.array(best.id)], names=["q", "query_id", "score", "vec_id"])
 
-            out = out.unionByName(map_arrow(own.select("vec_id", "x"), run, "q long, query_id long, score long, vec_id long"))
+            # A block is done, and gone from the executors, before the next one comes.
+            map_arrow(own.select("vec_id", "x"), run, _BEST).write.parquet(f"{found}/{number}")
+            shared.destroy()
             number += len(q)
+    out = spark.read.schema(_BEST).option("recursiveFileLookup", True).parquet(found)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

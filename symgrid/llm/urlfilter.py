@@ -4,7 +4,9 @@ Lists are logs of dated entries (list, kind, key, day, action): from that day on
 the list (``add``) or off it (``remove``). Each entry becomes a validity interval that ends
 where the next one of its key begins, so at any time one interval of a key is valid, and a
 capture is judged by the interval of its fetch day (an as-of join). Intervals are joined by key
-and month, so that a key with a long history isn't compared with every capture of it.
+and month, so that a key with a long history isn't compared with every capture of it. Only keys
+that some list holds are joined at all. Where the intervals are few they go to the captures;
+else a key that very many captures share (the domain ``com``, say) is salted on both sides.
 """
 
 from __future__ import annotations
@@ -12,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import table
+from symgrid.llm.common import small, stored, table
 
+#: Interval rows, listed keys and hot keys that are broadcast at most.
+BROADCAST_ROWS = 200_000
+#: Captures of a key, or rows of a capture, above which it is salted, and by how many salts.
+HOT, SALTS = 100_000, 64
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)[^/?#]*([^?#]*)"
 
 
@@ -47,27 +53,62 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", after).where("on = 1").drop("on")
 
 
+#: The columns that :func:`judged` adds.
+ADDED = ("blocked", "n_matches", "lists", "first_match")
+
+
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """Every row of ``captures`` with ``blocked``, ``n_matches``, ``lists`` and ``first_match``.
 
     n_matches counts entries active on the fetch day, ``lists`` are their lists in order, joined
     by commas, ``first_match`` is the smallest list:kind:key. A null or unparsable url and a null
     day match nothing; path keys are compared in lower case; repeated captures are judged once
-    and each keeps its row; columns of those names are replaced; empty tables are fine.
+    and each keeps its row; columns of those names are replaced, others may have any name; empty tables are fine.
     """
-    given = captures.drop("blocked", "n_matches", "lists", "first_match")
-    once = given.select(F.col(url).cast("string").alias("_url"), F.col(day).cast("date").alias("_day")).where("_url is not null and _day is not null").distinct()
-    month = F.date_format("_day", "yyyy-MM")
-    wanted = once.select("_url", "_day", F.explode(keys_of(F.col("_url"))).alias("k")).select("_url", "_day", "k.kind", F.lower("k.key").alias("key"), F.explode(F.array(month, F.lit("open"))).alias("bucket"))
-    valid = intervals(entries)
+    given = captures.select(
+        F.struct(*(F.col(f"`{c}`") for c in captures.columns if c not in ADDED)).alias("row"), F.col(url).cast("string").alias("url"), F.col(day).cast("date").alias("day")
+    )
+    once = stored(given.where("url is not null and day is not null").groupBy("url", "day").agg(F.count("*").alias("rows")), "captures")
+    valid = stored(intervals(entries), "intervals")
+    keys = stored(valid.select("kind", "key").distinct(), "listed-keys")
+    asked = once.select("url", "day", F.explode(keys_of(F.col("url"))).alias("k")).select("url", "day", "k.kind", F.lower("k.key").alias("key"))
+    asked = asked.join(_near(keys), ["kind", "key"], "left_semi")
+    wanted = asked.withColumn("bucket", F.explode(F.array(F.date_format("day", "yyyy-MM"), F.lit("open"))))
     months = F.transform(F.sequence(F.trunc("valid_from", "MM"), F.trunc(F.date_sub("valid_to", 1), "MM"), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
     spread = valid.withColumn("bucket", F.explode(F.when(F.col("valid_to").isNull(), F.array(F.lit("open"))).otherwise(months)))
-    active = wanted.join(spread, ["kind", "key", "bucket"]).where("_day >= valid_from and (valid_to is null or _day < valid_to)")
-    found = active.groupBy("_url", "_day").agg(
+    on = ["kind", "key", "bucket"]
+    if small(valid, BROADCAST_ROWS):
+        active = wanted.join(F.broadcast(spread), on)
+    else:
+        wanted, spread = _salted(wanted, spread, ["kind", "key"], wanted.groupBy("kind", "key").agg(F.count("*").alias("rows")), F.xxhash64("url", "day"))
+        active = wanted.join(spread, [*on, "salt"])
+    found = active.where("day >= valid_from and (valid_to is null or day < valid_to)").groupBy("url", "day").agg(
         F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min(F.concat_ws(":", "list", "kind", "key")).alias("first_match")
     )
-    rows = given.join(found, (given[url].cast("string") == found["_url"]) & (given[day].cast("date") == found["_day"]), "left")
-    return rows.select(*given.columns, F.col("n_matches").isNotNull().alias("blocked"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("first_match", F.lit("")).alias("first_match"))
+    # A page captured by very many rows is one row of ``once`` but all of them here.
+    given, found = _salted(given, found, ["url", "day"], once, F.xxhash64(F.spark_partition_id()))
+    rows = given.join(found, ["url", "day", "salt"], "left")
+    return rows.select(
+        *(F.col(f"row.`{c}`") for c in captures.columns if c not in ADDED),
+        F.col("n_matches").isNotNull().alias("blocked"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("first_match", F.lit("")).alias("first_match"),
+    )
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """A stored table, broadcast if it is small enough."""
+    return F.broadcast(rows) if small(rows, BROADCAST_ROWS) else rows
+
+
+def _salted(many: DataFrame, one: DataFrame, key: list[str], counts: DataFrame, by: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: 0, but for keys of more than :data:`HOT` rows of ``many`` a salt by ``by``; ``one`` has all salts of these.
+
+    Of such keys there is at most one in ``HOT`` rows; they are marked by a broadcast where they are few enough for it.
+    """
+    hot = stored(counts.where(F.col("rows") > HOT).select(*key, F.lit(True).alias("hot")), "hot-keys")
+    marked = _near(hot)
+    salt = F.when(F.col("hot"), F.pmod(by, F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return many.join(marked, key, "left").withColumn("salt", salt).drop("hot"), one.join(marked, key, "left").withColumn("salt", F.explode(salts)).drop("hot")
 
 
 def _number(text: Column, at: int, n: int) -> Column:
