@@ -11,6 +11,7 @@ library does to it may reach across a space.
 from __future__ import annotations
 
 import re
+import string
 from functools import cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Words a table holds before it starts anew (some 80 bytes each).
-WORDS = 500_000
+WORDS = 1_000_000
 #: Words that the library encodes in one call.
 TOGETHER = 100
 #: Text bytes looked up together.
@@ -107,6 +108,15 @@ class Table:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: Marks that the library may cut from the letter before them; letters of two bytes begin with 0xC3 to 0xC9.
+MARKS = ",.;:!?$%#*&()"
+_LETTERS = [*string.ascii_letters, *(chr(i) for i in range(0xC0, 0x250) if i not in (0xD7, 0xF7) and not _OTHER.match(chr(i)))]
+_MARK, _ASCII, _LEAD = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_ASCII[list(string.ascii_letters.encode())] = True
+_LEAD[0xC3:0xC9] = True
+_SMALL = np.zeros(256, np.uint8)
+_SMALL[65:91] = 32
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -117,6 +127,11 @@ class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY, words: int = WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.words = Table(words)
+        rule, upper = self.tokenizer.normalizer, string.ascii_uppercase
+        #: Whether the library writes capitals small; then they are looked up so.
+        self.folds = rule is not None and rule.normalize_str(upper) == upper.lower()
+        #: Whether the library always cuts these marks from a letter before them; then a word is looked up without them.
+        self.cuts = all(self.library(f"x{c}{m}x") == self.library(f"x{c}") + self.library(f"{m}x") for c in _LETTERS for m in MARKS)
         self.powers = np.ones(1, np.uint64)
         self.inverses = np.ones(1, np.uint64)
 
@@ -148,9 +163,17 @@ class Encoder:
         """Ids of texts of simple characters."""
         data = b" " + b" ".join(texts) + b" "
         letters = np.frombuffer(data, np.uint8)
+        if self.folds:
+            letters = letters | _SMALL[letters]
         space = _SPACE[letters]
         change = np.flatnonzero(space[1:] != space[:-1])
         starts, ends = change[::2] + 1, change[1::2] + 1
+        if self.cuts:
+            marks = np.flatnonzero(_MARK[letters])
+            one, two = letters[marks - 1], letters[marks - 2]
+            # The sign of multiplication and that of division are no letters.
+            marks = marks[_ASCII[one] | (one >= 0x80) & _LEAD[two] & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7)))]
+            starts, ends = np.sort(np.concatenate([starts, marks])), np.sort(np.concatenate([ends, marks]))
         powers, inverses = self._powers(len(letters))
         sums = np.zeros(len(letters) + 1, np.uint64)
         np.cumsum(_BYTE[letters] * powers, out=sums[1:])
@@ -167,7 +190,8 @@ class Encoder:
                 lost = np.arange(len(hashes))
                 if len(new) > self.words.most:
                     return [self.library(t.decode()) for t in texts]
-            self._learn([data[starts[i] : ends[i]] for i in lost[one].tolist()], new)
+            spelt = letters.tobytes()
+            self._learn([spelt[starts[i] : ends[i]] for i in lost[one].tolist()], new)
             entries[lost] = self.words.find(hashes[lost])
         sizes = ends - starts
         wrong = self.words.differ(entries, sizes, letters[~space])
