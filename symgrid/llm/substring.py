@@ -43,9 +43,9 @@ from symgrid.llm.fmindex import FMIndex
 WINDOW = 20
 GRAM = 8
 #: Text bytes of a bucket of documents (a longer document is a bucket of its own).
-BUCKET_BYTES = 16 << 20
-#: Occurrences of an anchor above which its windows travel alone.
-HOT = 1 << 14
+BUCKET_BYTES = 8 << 20
+#: Occurrences of an anchor above which its windows travel alone: some 30 MB of stretches in one shard.
+HOT = 1 << 18
 #: Windows of one stream; a longer stretch is several, which overlap by a window.
 STREAM = 128
 _STEPS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
@@ -329,7 +329,7 @@ def bucket_repeats(group: pa.Table, folder: str, parts: int, window: int, gram:
         number, local = np.unique(ids, return_inverse=True)
         doc_ids = [texts.rows[i][0] for i in row[cut].tolist()]
         words = b" ".join(texts.words[i - 1] for i in number.tolist())
-        out.append((k, src, np.array([i or 0 for i in doc_ids], np.int64).tobytes(), np.array([i is not None for i in doc_ids], bool).tobytes(), row[cut].astype(np.int32).tobytes(), start[cut].astype(np.int32).tobytes(), n[cut].astype(np.int32).tobytes(), words, local.astype(np.int32).tobytes()))
+        out.append((k, src, np.array([i or 0 for i in doc_ids], np.int64).tobytes(), np.array([i is not None for i in doc_ids], bool).tobytes(), row[cut].astype(np.int32).tobytes(), start[cut].astype(np.int32).tobytes(), n[cut].astype(np.int32).tobytes(), words, local.astype(np.uint16 if len(number) < 1 << 16 else np.int32).tobytes()))
     columns = list(zip(*out)) or [()] * 9
     types = [pa.int32(), pa.string(), *[pa.binary()] * 7]
     return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(_STRETCH.split(", "), columns, types)})
@@ -352,7 +352,8 @@ def shard_repeats(group: pa.Table, window: int) -> pa.Table:
     get = Words().__getitem__
     parts = []
     for words, ids in zip(group.column("words").to_pylist(), group.column("ids").to_pylist()):
-        parts.append(np.array([*map(get, words.split(b" "))], np.int64)[np.frombuffer(ids, np.int32)])
+        numbers = np.array([*map(get, words.split(b" "))], np.int64)
+        parts.append(numbers[np.frombuffer(ids, np.uint16 if len(numbers) < 1 << 16 else np.int32)])
     run = intervals(np.concatenate(parts), n + window - 1, window)
     of = np.repeat(np.arange(len(n)), n)
     place = start[of] + spread(np.zeros(len(n), np.int64), n)
