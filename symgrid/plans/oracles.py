@@ -124,13 +124,14 @@ ORACLES: dict[str, str] = {
     "sha256_files": f"WITH {FILES} SELECT path, sha256 FROM files",
     "language_map": "SELECT page_id, ['python', 'javascript', 'tsx', 'typescript', 'none', 'none'][CAST(page_id % 6 + 1 AS INTEGER)] AS language FROM pages",
     "path_flags": f"""WITH {FILES} SELECT path, {TEST} AS is_test, {focus()} AS in_focus, regexp_replace(replace('.\\./' || replace(path, '/', '\\'), '\\', '/'), '^(\\./)+', '') AS normal, {tail('path')} AS tail, regexp_replace(path, '\\.[^.]*$', '') AS parent FROM files""",
-    "text_forms": f"""WITH {LINES}, c AS (SELECT path, content, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') AS t FROM lines WHERE line = 1)
-SELECT path, CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substr(t, 1, 57), ' ') || '...' END AS short, substr(t, 1, 50) AS clipped,
-regexp_replace(regexp_replace(regexp_replace('f( ' || substr(content, 1, 30) || ', )', '([(\\[{{]) +', '\\1', 'g'), ' +([)\\]}},;])', '\\1', 'g'), ',([)\\]}}])', '\\1', 'g') AS tidied,
-CAST(list_max(list_filter(list_transform(range(0, length(content) + 1), lambda i: strlen(substr(content, 1, i))), lambda b: b <= 25)) AS INTEGER) AS capped_bytes FROM c""",
+    "text_forms": f"""WITH {LINES}, c AS (SELECT path, line, content, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') AS t FROM lines)
+SELECT path, line, CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substr(t, 1, 57), ' ') || '...' END AS short, substr(t, 1, 50) AS clipped,
+regexp_replace(regexp_replace(regexp_replace(content, '([(\\[{{]) +', '\\1', 'g'), ' +([)\\]}},;])', '\\1', 'g'), ',([)\\]}}])', '\\1', 'g') AS tidied,
+CAST(list_max(list_filter(list_transform(range(0, least(length(content), 25) + 1), lambda i: strlen(substr(content, 1, i))), lambda b: b <= 25)) AS INTEGER) AS capped_bytes FROM c""",
     "symbol_priority": f"WITH {DEFS} SELECT kind, exported, CAST({PRIO} AS INTEGER) AS priority, count(*) AS n FROM defs GROUP BY ALL",
-    "walk_filters": f"""WITH {LISTING}, k AS (SELECT DISTINCT path, size FROM listing WHERE size <= 4000 AND NOT regexp_matches(path, '(^|/)(__pycache__|\\.git|\\.venv|build|dist|node_modules|vendor|venv)/')) SELECT path, size, row_number() OVER (ORDER BY string_split(path, '/'), size) AS pos FROM k""",
-    "binary_size_filter": f"WITH {LISTING} SELECT path, size, false AS looks_binary, size <= 3000 AS fits FROM listing",
+    "walk_filters": f"""WITH {LISTING}, l AS (SELECT path || CASE size % 11 WHEN 0 THEN '/package-lock.json' WHEN 1 THEN '/app.min.js' ELSE '' END AS path, size FROM listing),
+k AS (SELECT DISTINCT path, size FROM l WHERE size <= 4000 AND NOT regexp_matches(path, '(/package-lock\\.json|\\.min\\.js)$') AND NOT regexp_matches(path, '(^|/)(__pycache__|\\.git|\\.venv|build|dist|node_modules|vendor|venv)/')) SELECT path, size, row_number() OVER (ORDER BY string_split(path, '/'), size) AS pos FROM k""",
+    "binary_size_filter": f"WITH {LISTING} SELECT path, size, size % 7 = 0 AND size < 8192 AS looks_binary, size <= 3000 AS fits FROM listing",
     "definers_count": f"WITH {DEFS}{DEFINERS} SELECT name, n FROM nn",
     "inbound_credit": f"WITH {REFS}{CREDIT} SELECT path, round(coalesce(credit, 0), 6) AS credit FROM files LEFT JOIN cr USING (path)",
     "export_fraction": f"WITH {REFS}{CREDIT} SELECT path, round(coalesce(fraction, 0), 6) AS fraction FROM files LEFT JOIN fr USING (path)",
@@ -157,14 +158,13 @@ SELECT wanted, coalesce(max(CASE WHEN path = k THEN path END), CASE WHEN count(p
     "map_budget_200": mapped(200) + MAP,
     "map_budget_2000": mapped(2000) + MAP,
     "map_focus": mapped(1000, f"NOT {focus()}") + MAP,
-    "fit_lines": f"""WITH {LINES}, l AS (SELECT content, CASE WHEN path LIKE '%/doc_1.py' THEN 0 ELSE 100000 END + line AS pos FROM lines WHERE path LIKE '%/doc_1.py' OR path LIKE '%/doc_2.py'),
-c AS (SELECT *, {tokens("trim(content, ' ')")} AS cost, row_number() OVER (ORDER BY pos) AS k, count(*) OVER () AS n FROM l),
-s AS (SELECT *, sum(cost + 1) OVER (ORDER BY pos) - 1 + (SELECT CAST(regexp_matches(content, '^\\s') AS INTEGER) FROM c WHERE k = 1) AS used, sum(cost + 1) OVER () - 1 + (SELECT CAST(regexp_matches(content, '^\\s') AS INTEGER) FROM c WHERE k = 1) + (SELECT CAST(regexp_matches(content, '\\s$') AS INTEGER) FROM c WHERE k = n) AS total FROM c)
-SELECT content, pos, false AS is_marker FROM s WHERE total <= 300 OR used + 22 <= 300 UNION ALL SELECT DISTINCT '[output cut to fit; raise the --budget]', -1, true FROM s WHERE total > 300""",
+    "fit_lines": f"""WITH {LINES}, c AS (SELECT path, line, content, {tokens("trim(content, ' ')")} AS cost, row_number() OVER (ORDER BY path, line) AS k, count(*) OVER () AS n FROM lines),
+s AS (SELECT *, sum(cost + 1) OVER (ORDER BY k) - 1 + (SELECT CAST(regexp_matches(content, '^\\s') AS INTEGER) FROM c WHERE k = 1) AS used, sum(cost + 1) OVER () - 1 + (SELECT CAST(regexp_matches(content, '^\\s') AS INTEGER) FROM c WHERE k = 1) + (SELECT CAST(regexp_matches(content, '\\s$') AS INTEGER) FROM c WHERE k = n) AS total FROM c)
+SELECT path, line, content, CAST(k AS INTEGER) AS pos, false AS is_marker FROM s WHERE total <= 300 OR used + 22 <= 300 UNION ALL SELECT DISTINCT '', 0, '[output cut to fit; raise the --budget]', -1, true FROM s WHERE total > 300""",
     "stats_totals": f"WITH {DEFS} SELECT 'total' AS section, 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'total', 'loc', CAST(sum(loc) AS BIGINT) FROM files UNION ALL SELECT 'total', 'symbols', count(*) FROM defs UNION ALL SELECT 'language', language, count(*) FROM files GROUP BY language UNION ALL SELECT 'kind', kind, count(*) FROM defs GROUP BY kind",
     "refresh_plan": f"""WITH {FILES}, now AS (SELECT path, sha256, CAST(regexp_extract(path, 'doc_(\\d+)\\.py$', 1) AS BIGINT) AS k FROM files), a AS (SELECT path, CASE WHEN k % 3 = 0 THEN 'old' ELSE sha256 END AS o FROM now WHERE k % 5 <> 0), b AS (SELECT path, sha256 AS s FROM now WHERE k % 4 <> 0)
 SELECT path, CASE WHEN s IS NULL THEN 'drop' WHEN o = s THEN 'reuse' ELSE 'parse' END AS action FROM a FULL JOIN b USING (path)""",
-    "resume_antijoin": f"WITH {RUNS} SELECT task_id, arm, CAST(trial AS INTEGER) AS trial FROM (SELECT * FROM (SELECT DISTINCT task_id FROM runs), (SELECT unnest(['baseline', 'treatment']) AS arm), (SELECT unnest(range(1, 13)) AS trial)) m WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.task_id = m.task_id AND r.arm = m.arm AND r.trial = m.trial)",
+    "resume_antijoin": f"WITH {RUNS} SELECT task_id, arm, CAST(trial AS INTEGER) AS trial FROM (SELECT * FROM (SELECT DISTINCT task_id FROM runs), (SELECT unnest(['baseline', 'treatment']) AS arm), (SELECT unnest(range(1, 61)) AS trial)) m WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.task_id = m.task_id AND r.arm = m.arm AND r.trial = m.trial)",
     "run_matrix": f"WITH {RUNS} SELECT task_id, CAST(trial AS INTEGER) AS trial, CAST(2 AS BIGINT) AS arms, CAST(1 AS BIGINT) AS apart, true AS alternates FROM (SELECT DISTINCT task_id FROM runs), (SELECT unnest(range(1, 4)) AS trial)",
     "unknown_repo": "SELECT c_custkey AS id, c_mktsegment AS repo FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')",
     "task_summary": SUMS + " SELECT task_id, category, round(baseline_median, 6) AS baseline_median, round(treatment_median, 6) AS treatment_median, round(baseline_q1, 6) AS baseline_q1, round(baseline_q3, 6) AS baseline_q3, round(treatment_q1, 6) AS treatment_q1, round(treatment_q3, 6) AS treatment_q3, runs, censored, round(baseline_per_turn, 6) AS baseline_per_turn, round(treatment_per_turn, 6) AS treatment_per_turn, round(reduction, 6) AS reduction FROM sums",
@@ -191,7 +191,7 @@ SELECT conv_id, turn, kind, CASE WHEN turn = 7 THEN false WHEN kind = 'diff' THE
     "grep_lines": f"""WITH {LINES}, g AS (SELECT path, line, './' || path || ':' || line || ':' || content AS content FROM lines WHERE regexp_matches(content, 'ti[nm]g') AND regexp_matches({"string_split(path, '/')[-1]"}, '^doc_1.*\\.py$')),
 s AS (SELECT content, row_number() OVER w AS pos, coalesce(sum(length(content) + 1) OVER (ORDER BY path, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g WINDOW w AS (ORDER BY path, line)) SELECT pos, content FROM s WHERE before <= 20000""",
     "read_range": f"WITH {LINES} SELECT line, line || chr(9) || content AS content FROM lines WHERE path = 'en/src1/doc_1.py' AND line BETWEEN 2 AND 6",
-    "edit_once": f"""WITH {FILES}, t AS (SELECT path, substr(text, 1, 100) AS x FROM files), n AS (SELECT *, len(string_split(x, ' the ')) - 1 AS k FROM t) SELECT path, CASE WHEN k = 1 THEN replace(x, ' the ', ' THE ') ELSE x END AS text, CASE WHEN k = 0 THEN 'not found' WHEN k > 1 THEN 'found ' || k || ' times' ELSE '' END AS error FROM n""",
+    "edit_once": f"""WITH {FILES}, t AS (SELECT path, text AS x FROM files), n AS (SELECT *, len(string_split(x, ' the ')) - 1 AS k FROM t) SELECT path, CASE WHEN k = 1 THEN replace(x, ' the ', ' THE ') ELSE x END AS text, CASE WHEN k = 0 THEN 'not found' WHEN k > 1 THEN 'found ' || k || ' times' ELSE '' END AS error FROM n""",
 }
 
 

@@ -73,13 +73,6 @@ def path_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Collapsed, tidied, shortened and clipped lines."""
-    own = C.lines(spark, d).where("line = 1")
-    return own.select("path", X.shortened(X.collapsed("content"), 60).alias("short"), X.clipped("content", 50).alias("clipped"), X.tidied(F.concat(F.lit("f( "), F.substring("content", 1, 30), F.lit(", )"))).alias("tidied"), F.octet_length(X.byte_capped("content", 25)).alias("capped_bytes"))
-
-
-@query
-def text_forms_whole(spark: SparkSession, d: str) -> DataFrame:
     """Collapsed, tidied, shortened and clipped forms of every line."""
     return C.lines(spark, d).select("path", "line", X.shortened(X.collapsed("content"), 60).alias("short"), X.clipped("content", 50).alias("clipped"), X.tidied("content").alias("tidied"), F.octet_length(X.byte_capped("content", 25)).alias("capped_bytes"))
 
@@ -92,7 +85,9 @@ def symbol_priority(spark: SparkSession, d: str) -> DataFrame:
 @query
 def walk_filters(spark: SparkSession, d: str) -> DataFrame:
     """Readable files of the page listing, in walk order."""
-    rows = C.listing(spark, d).withColumn("is_dir", F.lit(False)).withColumn("is_link", F.lit(False))
+    # The pages have no such names; those of some sizes get them.
+    end = F.when(F.col("size") % 11 == 0, "/package-lock.json").when(F.col("size") % 11 == 1, "/app.min.js").otherwise("")
+    rows = C.listing(spark, d).withColumn("path", F.concat("path", end)).withColumn("is_dir", F.lit(False)).withColumn("is_link", F.lit(False))
     kept = S.kept_files(rows, max_bytes=4000, max_files=None)
     return D.numbered(kept.select("path", "size").distinct(), [F.split("path", "/"), F.col("size")], "pos")
 
@@ -106,7 +101,9 @@ def ignore_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def binary_size_filter(spark: SparkSession, d: str) -> DataFrame:
-    return C.listing(spark, d).select("path", "size", X.looks_binary("head").alias("looks_binary"), (F.col("size") <= 3000).alias("fits"))
+    # The pages are text; those of some sizes get a NUL at their end.
+    rows = C.listing(spark, d).withColumn("head", F.when(F.col("size") % 7 == 0, F.concat("head", F.lit(b"\0"))).otherwise(F.col("head")))
+    return rows.select("path", "size", X.looks_binary("head").alias("looks_binary"), (F.col("size") <= 3000).alias("fits"))
 
 
 @query
@@ -261,17 +258,11 @@ def map_focus(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fit_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = C.lines(spark, d).where("path like '%/doc_1.py' or path like '%/doc_2.py'").select("content", (F.when(F.col("path").like("%/doc_1.py"), 0).otherwise(100000) + F.col("line")).alias("pos"))
-    return D.fitted(lines, 300).select("content", F.when(F.col("is_marker"), -1).otherwise(F.col("pos")).alias("pos"), "is_marker")
-
-
-@query
-def fit_lines_whole(spark: SparkSession, d: str) -> DataFrame:
     """The lines of all files in the order of path and line, as far as they fit."""
     # A text that sorts as (path, line) does: only the lines that fit, of which there are few, are numbered.
     lines = C.lines(spark, d).select("path", "line", "content", F.concat("path", F.lit("\0"), F.lpad(F.col("line").cast("string"), 10, "0")).alias("pos"))
     number = F.row_number().over(Window.orderBy("is_marker", "pos"))
-    return D.fitted(lines, 300).select("path", "line", "content", F.when(F.col("is_marker"), -1).otherwise(number).alias("pos"), "is_marker")
+    return D.fitted(lines, 300).select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("line", F.lit(0)).alias("line"), "content", F.when(F.col("is_marker"), -1).otherwise(number).alias("pos"), "is_marker")
 
 
 @query
@@ -291,7 +282,7 @@ def refresh_plan(spark: SparkSession, d: str) -> DataFrame:
 @query
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     tasks = C.runs(spark, d).select(F.col("task_id").alias("id")).distinct()
-    matrix = E.run_matrix(tasks, 12).select("task_id", "arm", "trial")
+    matrix = E.run_matrix(tasks, 60).select("task_id", "arm", "trial")
     return E.unfinished(matrix, C.runs(spark, d))
 
 
@@ -427,13 +418,6 @@ C_PATH = "en/src1/doc_1.py"
 
 @query
 def edit_once(spark: SparkSession, d: str) -> DataFrame:
-    """A unique-match replacement in the first hundred characters of every file."""
-    files = C.files(spark, d).select("path", F.substring("text", 1, 100).alias("text"))
-    return E.edited(files, files.select("path", F.lit(" the ").alias("find"), F.lit(" THE ").alias("replace"))).select("path", "text", F.coalesce("error", F.lit("")).alias("error"))
-
-
-@query
-def edit_once_whole(spark: SparkSession, d: str) -> DataFrame:
     """A unique-match replacement in the whole text of every file."""
     files = C.files(spark, d).select("path", "text")
     return E.edited(files, files.select("path", F.lit(" the ").alias("find"), F.lit(" THE ").alias("replace"))).select("path", "text", F.coalesce("error", F.lit("")).alias("error"))
