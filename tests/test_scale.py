@@ -1,6 +1,10 @@
 """Forms made for large tables against the plain ones."""
 
+import duckdb
+
 from symgrid.operators import resolve as R
+from symgrid.plans.oracles import ORACLES
+from symgrid.plans.queries import QUERIES
 
 
 def test_edges_travel_as_lists_in_tasks_of_bounded_pairs(spark, monkeypatch):
@@ -15,3 +19,13 @@ def test_edges_travel_as_lists_in_tasks_of_bounded_pairs(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     # Three users of each of six names; pairs are added up where they arise, so the tasks are those of the lists.
     assert edges.rdd.getNumPartitions() == -(-3 * sum(n.values()) // 10)
+
+
+def test_grades_take_every_line_of_a_text_as_added(spark, tmp_path):
+    texts = [(1, 2, "one\nin two"), (2, 2, "one ++in"), (3, 5, "a\nzz\nin"), (4, 2, "a\n++in\nb"), (5, 2, "none")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in texts], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(c.execute(ORACLES["grade_runs"]).fetchall())
+    got = sorted(map(tuple, QUERIES["grade_runs"](spark, str(tmp_path)).collect()))
+    assert got == want and [r[3] for r in got] == [True, True, False, True, False]
