@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from symgrid.functions.text import in_focus, is_test_path, tail_of
@@ -23,9 +23,10 @@ STRATEGIES = ("simple", "pagerank")
 LISTED, PAIRS = 1024, 1_000_000
 
 
-def definers(defs: DataFrame) -> DataFrame:
-    """(name, path): each file once for every name it defines, qualified and by its last segment."""
-    return defs.select("path", F.explode(F.array_distinct(F.array("name", tail_of("name")))).alias("name")).distinct().select("name", "path")
+def definers(defs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(name, path): each file once for every name it defines, qualified and by its last segment; by name in ``parts`` partitions, if given."""
+    rows = defs.select("path", F.explode(F.array_distinct(F.array("name", tail_of("name")))).alias("name"))
+    return (rows.repartition(parts, "name") if parts else rows).distinct().select("name", "path")
 
 
 def definer_counts(defs: DataFrame) -> DataFrame:
@@ -33,12 +34,13 @@ def definer_counts(defs: DataFrame) -> DataFrame:
     return definers(defs).groupBy("name").agg(F.count("*").alias("n"))
 
 
-def reference_counts(refs: DataFrame) -> DataFrame:
+def reference_counts(refs: DataFrame, parts: int | None = None) -> DataFrame:
     """(path, name, r): references of a file to a name, each (kind, line) once.
 
     Rows meet by (path, name) from the start, so that both steps share one shuffle.
     """
-    rows = refs.select("path", "name", "kind", "line").repartition("path", "name")
+    rows = refs.select("path", "name", "kind", "line")
+    rows = rows.repartition(parts, "path", "name") if parts else rows.repartition("path", "name")
     return rows.distinct().groupBy("path", "name").agg(F.count("*").alias("r"))
 
 
@@ -61,13 +63,18 @@ def reference_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
     return each.groupBy("src", "dst").agg(F.sum("share").alias("weight"))
 
 
-def inbound_credit(files: DataFrame, defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(path, credit) of every file."""
-    d, r = definers(defs), kept(reference_counts(refs), "reference-counts")
-    n = d.groupBy("name").agg(F.count("*").alias("n"))
-    t = r.groupBy("name").agg(F.sum("r").alias("t"))
-    owed = d.join(n.join(t, "name"), "name").join(r, ["path", "name"], "left")
-    credit = owed.groupBy("path").agg(F.sum((F.col("t") - F.coalesce("r", F.lit(0))) / F.col("n")).alias("credit"))
+def inbound_credit(files: DataFrame, defs: DataFrame, refs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(path, credit) of every file. Definers and references meet by name, in one shuffle of both."""
+    d = definers(defs, parts).select("path", "name", F.lit(1).alias("own"), F.lit(0).cast("long").alias("r"))
+    both = d.unionByName(reference_counts(refs, parts).select("path", "name", F.lit(0).alias("own"), "r"))
+    both = (both.repartition(parts, "name") if parts else both.repartition("name")).groupBy("name", "path").agg(F.max("own").alias("own"), F.sum("r").alias("r"))
+    totals = both.groupBy("name").agg(F.sum("own").alias("n"), F.sum("r").alias("t")).where("n > 0 and t > 0")
+    return credited(files, both.where("own = 1"), totals)
+
+
+def credited(files: DataFrame, owned: DataFrame, totals: DataFrame) -> DataFrame:
+    """(path, credit) of every file from ``owned`` (path, name, r: a file's own references to what it defines) and ``totals`` (name, n, t)."""
+    credit = owned.join(totals, "name").groupBy("path").agg(F.sum((F.col("t") - F.col("r")) / F.col("n")).alias("credit"))
     return files.select("path").join(credit, "path", "left").select("path", F.coalesce("credit", F.lit(0.0)).alias("credit"))
 
 
@@ -79,55 +86,102 @@ def export_fraction(files: DataFrame, defs: DataFrame) -> DataFrame:
 
 def simple_rank(files: DataFrame, defs: DataFrame, refs: DataFrame) -> DataFrame:
     """(path, rank): credit, more for exported names, less for tests."""
-    parts = inbound_credit(files, defs, refs).join(export_fraction(files, defs), "path")
+    return ranked_by(inbound_credit(files, defs, refs).join(export_fraction(files, defs), "path"))
+
+
+def ranked_by(parts: DataFrame) -> DataFrame:
+    """(path, rank) of ``parts`` (path, credit, fraction)."""
     rank = F.col("credit") + EXPORT_WEIGHT * F.col("fraction") - F.when(is_test_path("path"), TEST_WEIGHT).otherwise(0.0)
     return parts.select("path", rank.alias("rank"))
 
 
 def page_rank(
-    files: DataFrame, defs: DataFrame, refs: DataFrame, personalize: Sequence[str] = (), damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
+    files: DataFrame, defs: DataFrame, refs: DataFrame, personalize: Sequence[str] = (), damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, parts: int | None = None
 ) -> DataFrame:
     """(path, rank): PageRank of the file graph, its mass restarting in the focus if there is one.
 
     Works on the name-bipartite form and never builds the edges. Files without an edge to another
     file give their mass to the restart. Whether there is such an edge is counted in integers, so
-    it doesn't hang on a rounded difference. Each step's scores are a table in shared storage;
-    only their total change and the dangling mass come to the driver.
+    it doesn't hang on a rounded difference.
+
+    A file that defines nothing gets the restart alone, so after the first step its score is a
+    number a step times its restart. What such files give others is therefore summed up once: ``u``
+    from the even start and ``v`` from a whole restart. Only files that both define and refer (the
+    core) are followed step by step; without any, all steps are numbers on the driver.
     """
     paths = files.select("path").distinct()
     count = paths.count()
     if not count:
         return paths.select("path", F.lit(0.0).alias("rank"))
-    d = definers(defs)
+    d = definers(defs, parts)
     n = d.groupBy("name").agg(F.count("*").alias("n"))
     d = kept(d.join(n, "name").select("path", "name", "n"), "rank-definers")
-    r = reference_counts(refs).join(d.groupBy("name").agg(F.max("n").alias("n")), "name")
-    r = kept(r.join(d.select("path", "name", F.lit(1).alias("own")), ["path", "name"], "left").select("path", "name", "r", "n", F.coalesce("own", F.lit(0)).alias("own")), "rank-references")
+    n = d.groupBy("name").agg(F.max("n").alias("n"))
+    own = d.select("path", "name", F.lit(1).alias("own"))
+    r = reference_counts(refs, parts)
+    both = r.withColumn("own", F.lit(0)).unionByName(own.withColumn("r", F.lit(0)), allowMissingColumns=True)
+    both = (both.repartition(parts, "name") if parts else both).groupBy("path", "name").agg(F.sum("r").alias("r"), F.max("own").alias("own")).where("r > 0")
+    r = kept(both.join(n, "name").select("path", "name", "r", "n", "own"), "rank-references")
     out = r.groupBy("path").agg(F.sum(F.col("r") * (F.col("n") - F.col("own")) / F.col("n")).alias("weight"), F.max((F.col("n") > F.col("own")).cast("int")).alias("linked"))
     chosen = in_focus("path", personalize) if personalize else F.lit(True)
     marked = paths.withColumn("chosen", chosen)
     focused = marked.where("chosen").count()
     if not focused:
         marked, focused = paths.withColumn("chosen", F.lit(True)), count
-    base = marked.join(out, "path", "left").select("path", F.when(F.col("chosen"), 1.0 / focused).otherwise(0.0).alias("restart"), F.when(F.col("linked") == 1, F.col("weight")).alias("weight"))
-    base = kept(base, "rank-base")
-    score = base.select("path", F.lit(1.0 / count).alias("score"))
+    defining = d.select("path").distinct().withColumn("defines", F.lit(True))
+    base = marked.join(out, "path", "left").join(defining, "path", "left")
+    base = base.select("path", F.when(F.col("chosen"), 1.0 / focused).otherwise(0.0).alias("restart"), F.when(F.col("linked") == 1, F.col("weight")).alias("weight"), F.coalesce("defines", F.lit(False)).alias("defines"))
+    base = kept(base, "rank-files")
+    sources = base.where("weight is not null and not defines").select("path", (damping / count / F.col("weight")).alias("u"), (damping * F.col("restart") / F.col("weight")).alias("v"))
+    sums = r.join(sources, "path").groupBy("name").agg(F.sum(F.col("u") * F.col("r")).alias("u"), F.sum(F.col("v") * F.col("r")).alias("v"))
+    given = d.join(sums, "name").groupBy("path").agg(F.sum(F.col("u") / F.col("n")).alias("u"), F.sum(F.col("v") / F.col("n")).alias("v"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    base = kept(base.join(given, "path", "left").select("path", "restart", "weight", (F.col("defines") & F.col("weight").isNotNull()).alias("core"), zero("u"), zero("v")), "rank-base")
+    lost = F.col("weight").isNull()
+    z = base.agg(F.count(F.when(lost, 1)).alias("n"), *(F.coalesce(F.sum(F.when(lost, F.col(c))), F.lit(0.0)).alias(c) for c in ("restart", "u", "v")), F.max("core").alias("core")).first()
+    if not z["core"]:
+        return _steps_in_numbers(base, z, count, damping, iterations, tolerance)
+    core = base.where("core").select("path")
+    r = kept(r.join(core, "path", "left_semi"), "rank-core")
+    d = kept(d.join(r.select("name").distinct(), "name", "left_semi"), "rank-core-definers")
+    score, before, dangling = base.withColumn("score", F.lit(1.0 / count)), None, z["n"] / count
     for _ in range(iterations):
-        now = base.join(score, "path")
-        dangling = now.where("weight is null").agg(F.sum("score")).first()[0] or 0.0
-        sent = now.where("weight is not null").select("path", (damping * F.col("score") / F.col("weight")).alias("m"))
-        mass = r.join(sent, "path").select("path", "name", (F.col("m") * F.col("r")).alias("give"))
+        sent = score.where("core").select("path", (damping * F.col("score") / F.col("weight")).alias("m"))
+        mass = r.join(sent, "path").select("path", "name", "n", "own", (F.col("m") * F.col("r")).alias("give"))
         total = mass.groupBy("name").agg(F.sum("give").alias("all"))
-        got = d.join(total, "name").join(mass, ["path", "name"], "left").groupBy("path").agg(F.sum((F.col("all") - F.coalesce("give", F.lit(0.0))) / F.col("n")).alias("got"))
-        new = now.join(got, "path", "left").select("path", ((1 - damping + damping * dangling) * F.col("restart") + F.coalesce("got", F.lit(0.0))).alias("new"), "score")
+        got = d.join(total, "name").select("path", (F.col("all") / F.col("n")).alias("got")).unionByName(mass.where("own = 1").select("path", (-F.col("give") / F.col("n")).alias("got")))
+        got = got.groupBy("path").agg(F.sum("got").alias("got"))
+        share = 1 - damping + damping * dangling
+        rest = F.col("u") if before is None else before * F.col("v")
+        new = score.join(got, "path", "left").select(*base.columns, F.col("score").alias("last"), (share * F.col("restart") + rest + F.coalesce("got", F.lit(0.0))).alias("score"))
         new = kept(new, "rank-step")
-        change = new.agg(F.sum(F.abs(F.col("new") - F.col("score")))).first()[0]
-        score = new.select("path", F.col("new").alias("score"))
-        if change < tolerance:
+        ends = new.agg(F.sum(F.abs(F.col("score") - F.col("last"))).alias("change"), F.sum(F.when(lost, F.col("score"))).alias("dangling")).first()
+        score, before, dangling = new.drop("last"), share, ends["dangling"] or 0.0
+        if ends["change"] < tolerance:
             break
     return score.select("path", F.col("score").alias("rank"))
 
 
+def _steps_in_numbers(base: DataFrame, lost: Row, count: int, damping: float, iterations: int, tolerance: float) -> DataFrame:
+    """(path, rank) where nothing both defines and refers: step k gives ``a[k] restart + a[k - 1] v``, the first ``a[0] restart + u``."""
+    share = lambda mass: 1 - damping + damping * mass
+    a, dangling = [], lost["n"] / count
+    for k in range(iterations):
+        a.append(share(dangling))
+        dangling = a[k] * lost["restart"] + (lost["u"] if k == 0 else a[k - 1] * lost["v"])
+    parts = [(0.0, 0.0, 0.0, 1.0 / count), *((a[k], float(k == 0), a[k - 1] if k else 0.0, 0.0) for k in range(iterations))]  # of restart, u, v and 1
+    at = lambda x: F.lit(x[0]) * F.col("restart") + F.lit(x[1]) * F.col("u") + F.lit(x[2]) * F.col("v") + F.lit(x[3])
+    last = iterations
+    for first in range(0, iterations if tolerance > 0 else 0, 10):
+        these = range(first, min(first + 10, iterations))
+        changes = base.agg(*(F.sum(F.abs(at([y - x for x, y in zip(parts[k], parts[k + 1], strict=True)]))).alias(f"c{k}") for k in these)).first()
+        done = [k + 1 for k in these if changes[f"c{k}"] < tolerance]
+        if done:
+            last = done[0]
+            break
+    return base.select("path", at(parts[last]).alias("rank"))
+
+
 def ranks(files: DataFrame, defs: DataFrame, refs: DataFrame, strategy: str = "simple", personalize: Sequence[str] = ()) -> DataFrame:
     """(path, rank) by a named strategy; a focus only matters to PageRank."""
     if strategy == "simple":

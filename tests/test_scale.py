@@ -1,6 +1,7 @@
 """Forms made for large tables against the plain ones."""
 
 import duckdb
+import pytest
 
 from symgrid.operators import resolve as R
 from symgrid.plans.oracles import ORACLES
@@ -29,3 +30,34 @@ def test_grades_take_every_line_of_a_text_as_added(spark, tmp_path):
     want = sorted(c.execute(ORACLES["grade_runs"]).fetchall())
     got = sorted(map(tuple, QUERIES["grade_runs"](spark, str(tmp_path)).collect()))
     assert got == want and [r[3] for r in got] == [True, True, False, True, False]
+
+
+@pytest.mark.parametrize("focus", [(), ("c1",)])
+@pytest.mark.parametrize("tolerance", [0.0, 1e-8])
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_page_rank_follows_only_files_that_define_and_refer(spark, focus, tolerance, cyclic, monkeypatch):
+    defs = [("s1", "a"), ("s2", "a"), ("s2", "b"), ("s3", "d")] + cyclic * [("c2", "b"), ("s1", "e")]
+    refs = [("c1", "a"), ("c1", "b"), ("c1", "b"), ("c2", "a"), ("c3", "x")] + cyclic * [("s1", "b"), ("c2", "b")]
+    paths = ["c1", "c2", "c3", "s1", "s2", "s3"]
+    edges = {}
+    for p, name in refs:
+        to = [q for q, x in defs if x == name]
+        for q in to:
+            if p != q:
+                edges[p, q] = edges.get((p, q), 0) + 1 / len(to)
+    steps, out = 5 if tolerance == 0 else 100, {p: sum(w for (a, _), w in edges.items() if a == p) for p in paths}
+    start, score = {p: (1 / len(focus or paths)) * (not focus or p in focus) for p in paths}, dict.fromkeys(paths, 1 / 6)
+    for _ in range(steps):
+        lost = sum(score[p] for p in paths if not out[p])
+        new = {p: (0.15 + 0.85 * lost) * start[p] + 0.85 * sum(score[a] * w / out[a] for (a, b), w in edges.items() if b == p) for p in paths}
+        change, score = sum(abs(new[p] - score[p]) for p in paths), new
+        if change < tolerance:
+            break
+    written, keep = [], R.kept
+    monkeypatch.setattr(R, "kept", lambda df, name: written.append(name) or keep(df, name))
+    d = spark.createDataFrame(defs, "path string, name string")
+    r = spark.createDataFrame([(p, x, "call", i) for i, (p, x) in enumerate(refs)], "path string, name string, kind string, line int")
+    got = R.page_rank(spark.createDataFrame([(p,) for p in paths], "path string"), d, r, focus, tolerance=tolerance, **({"iterations": 5} if tolerance == 0 else {}), parts=3)
+    got = {x["path"]: x["rank"] for x in got.collect()}
+    assert all(abs(got[p] - score[p]) < 1e-12 for p in paths)
+    assert ("rank-step" in written) == cyclic
