@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from symgrid.operators import resolve as R
+from symgrid.plans import corpora as C
 from symgrid.plans.oracles import ORACLES
 from symgrid.plans.queries import QUERIES
 
@@ -61,3 +62,18 @@ def test_page_rank_follows_only_files_that_define_and_refer(spark, focus, tolera
     got = {x["path"]: x["rank"] for x in got.collect()}
     assert all(abs(got[p] - score[p]) < 1e-12 for p in paths)
     assert ("rank-step" in written) == cyclic
+
+
+def test_summaries_equal_the_operators_over_symbols(spark, tmp_path, monkeypatch):
+    texts = ["", None, "...", "a b b a\nb a, a\n\nc b a.c\nb a", "é x é\nx é\nz é x x\n!\nx", "one", "\n\nb b b\r\nc\n d b c", "t\nt t t\nt t\nt"]
+    docs = [(i, "en", "src1", t) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    files, defs, refs = (f(spark, str(tmp_path)) for f in (C.files, C.defs, C.refs))
+    names, counts = R.definers(defs), R.reference_counts(refs)
+    want = {(x["path"], x["name"], x["r"]) for x in names.join(counts, ["path", "name"], "left").fillna(0, ["r"]).collect()}
+    got = C.summaries(spark, str(tmp_path)).collect()
+    assert {(x["path"], o["name"], o["r"]) for x in got for o in x["own"]} == want and any(r > 1 for *_, r in want)
+    assert {x["path"]: x["fraction"] for x in got} == {x["path"]: x["fraction"] for x in R.export_fraction(files, defs).collect()}
+    rank = {x["path"]: round(x["rank"], 6) for x in R.simple_rank(files, defs, refs).collect()}
+    monkeypatch.setattr(R, "reference_counts", None)  # no reference is shuffled by file
+    assert {x["path"]: x["rank"] for x in QUERIES["simple_rank"](spark, str(tmp_path)).collect()} == rank
