@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import random
 import statistics
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from symgrid.functions import text as X
 ARMS = ("baseline", "treatment")
 CONTROL = "E"
 LOOKUP, READ = "lookup", "read_file"
+WORDS = 1 << 20  # drawn at a time
 
 
 def exclusive_quartiles(values: Column) -> tuple[Column, Column]:
@@ -131,14 +133,50 @@ def subcommands(trace: DataFrame, lookup: str = LOOKUP) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).drop("_first")  # few rows: one a command
 
 
+def _resampled_medians(values: Sequence[float], iterations: int, seed: int) -> Iterator[float]:
+    """Medians of resamples drawn by ``random.Random(seed).randrange``, many words of its generator at a time.
+
+    randrange(n) takes the upper bits of 32-bit words until they are under n. numpy's generator has the
+    same words from the same state. Medians are taken of the places in sorted order.
+    """
+    n = len(values)
+    if n.bit_length() > 32 or any(v != v for v in values):
+        draw = random.Random(seed)
+        yield from (statistics.median([values[draw.randrange(n)] for _ in values]) for _ in range(iterations))
+        return
+    ordered = sorted(values)
+    place = np.empty(n, np.int64)
+    place[sorted(range(n), key=values.__getitem__)] = np.arange(n)
+    *words, at = random.Random(seed).getstate()[1]
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(words, np.uint32), "pos": at}}
+    shift, half = 32 - n.bit_length(), n // 2
+    left = np.empty(0, np.int64)
+    rows = max(1, WORDS // n)
+    for done in range(0, iterations, rows):
+        need = min(rows, iterations - done) * n
+        taken, have = [left], len(left)
+        while have < need:
+            drawn = (source.random_raw(min(WORDS, 2 * (need - have) + 64)) >> shift).astype(np.int64)
+            drawn = drawn[drawn < n]
+            taken.append(drawn)
+            have += len(drawn)
+        drawn = np.concatenate(taken)
+        drawn, left = drawn[:need], drawn[need:]
+        block = np.partition(place[drawn].reshape(-1, n), [half - 1, half] if n % 2 == 0 else [half], axis=1)
+        if n % 2:
+            yield from (ordered[k] for k in block[:, half])
+        else:
+            yield from ((ordered[a] + ordered[b]) / 2 for a, b in zip(block[:, half - 1], block[:, half], strict=True))
+
+
 def bootstrap_interval(values: Sequence[float], confidence: float = 0.95, iterations: int = 10_000, seed: int = 1) -> tuple[float, float]:
     """Percentile interval of the median under resampling, with Python's own generator so that a seed fixes it."""
     if not values:
         raise ValueError("nothing to resample")
     if len(values) == 1:
         return values[0], values[0]
-    draw = random.Random(seed)
-    medians = sorted(statistics.median([values[draw.randrange(len(values))] for _ in values]) for _ in range(iterations))
+    medians = sorted(_resampled_medians(values, iterations, seed))
     tail = (1 - confidence) / 2
     return medians[int(tail * iterations)], medians[min(iterations - 1, int((1 - tail) * iterations))]
 

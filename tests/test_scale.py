@@ -1,8 +1,12 @@
 """Forms made for large tables against the plain ones."""
 
+import random
+import statistics
+
 import duckdb
 import pytest
 
+from symgrid.operators import experiments as E
 from symgrid.operators import resolve as R
 from symgrid.plans import corpora as C
 from symgrid.plans.oracles import ORACLES
@@ -77,3 +81,14 @@ def test_summaries_equal_the_operators_over_symbols(spark, tmp_path, monkeypatch
     rank = {x["path"]: round(x["rank"], 6) for x in R.simple_rank(files, defs, refs).collect()}
     monkeypatch.setattr(R, "reference_counts", None)  # no reference is shuffled by file
     assert {x["path"]: x["rank"] for x in QUERIES["simple_rank"](spark, str(tmp_path)).collect()} == rank
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 31, 64, 257])
+@pytest.mark.parametrize("words", [50, 1 << 20])
+def test_resamples_are_those_of_pythons_generator(n, words, monkeypatch):
+    values = [random.Random(n).choice([0.5, 1, -2.25, 7.125, i / 3]) for i in range(n)]
+    draw = random.Random(5)
+    want = [statistics.median([values[draw.randrange(n)] for _ in values]) for _ in range(300)]
+    monkeypatch.setattr(E, "WORDS", words)
+    monkeypatch.setattr(E.statistics, "median", None)  # no resample is drawn value by value
+    assert list(E._resampled_medians(values, 300, 5)) == want
