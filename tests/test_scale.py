@@ -5,7 +5,9 @@ import statistics
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from symgrid.operators import display as D
 from symgrid.operators import experiments as E
 from symgrid.operators import resolve as R
 from symgrid.plans import corpora as C
@@ -83,6 +85,51 @@ def test_summaries_equal_the_operators_over_symbols(spark, tmp_path, monkeypatch
     assert {x["path"]: x["rank"] for x in QUERIES["simple_rank"](spark, str(tmp_path)).collect()} == rank
 
 
+SYMBOLS = [
+    "", None, "...", "a b b a\nb a, a\n\nc b a.c\nb a", "one", "\n\nb b b\r\nc\n d b c", "aaaa\nbbbb x\n cc\naaaa y\nd\naaaaa\naaaa\neeee\naaaa\n\n\nff\n" + "g h\n" * 7, "é\nx \u2003é\n _long_word_\tof text, and more of it up to the end (40)",
+    "éé\néé\nw\néé", "1\n2\n3\n4\n5\n6",
+]
+
+
+def documents(spark, d, texts):
+    docs = [(i, ("en", "de")[i % 2], f"src{i % 3}", t) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{d}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["map_units", "map_budget_200", "map_focus", "orientation"])
+def test_map_queries_sort_files_and_no_symbols(spark, tmp_path, monkeypatch, name):
+    duck = documents(spark, tmp_path, SYMBOLS * 3)
+    want = duck.sql(ORACLES[name])
+    columns = want.columns
+    sizes, run = [], D.numbered
+    monkeypatch.setattr(D, "numbered", lambda df, *more: sizes.append(df.count()) or run(df, *more))
+    monkeypatch.setattr(D, "ordered_symbols", None)  # no symbol is joined or sorted by itself
+    got = QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and got
+    assert sizes == [3 * len(SYMBOLS)]
+
+
+def test_map_units_of_definitions_equal_those_of_summaries(spark, tmp_path):
+    documents(spark, tmp_path, SYMBOLS)
+    files = C.files(spark, str(tmp_path)).withColumn("rank", F.octet_length("path") % 3 + 0.5)
+    summed = C.summaries(spark, str(tmp_path)).select("path", "heads", "details", "symbols")
+    columns = ["unit", "path", "rank", "loc", "file_no", "pos", "detail", "depth", "name", "line", "cost"]
+    every = D.map_units(files, C.defs(spark, str(tmp_path))).select(columns)
+    assert every.collect() and {r["depth"] for r in every.collect()} == {0, 1}
+    assert sorted(every.collect()) == sorted(D.placed_units(files.join(summed.drop("symbols"), "path"), summed.select("path", "symbols")).select(columns).collect())
+
+
+def test_definitions_are_worked_out_once(spark, tmp_path):
+    documents(spark, tmp_path, SYMBOLS)
+    plan = D.ordered_symbols(C.defs(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
+    for made in (C.refs, C.reference_totals):  # words aren't cut a second time by a filter
+        assert made(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 31, 64, 257])
 @pytest.mark.parametrize("words", [50, 1 << 20])
 def test_resamples_are_those_of_pythons_generator(n, words, monkeypatch):
