@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-#: What counts as a heuristic token besides any other character.
-PIECE = r"[\p{L}\p{N}_]{1,3}|\s+"
+#: What counts as one heuristic token though it has more than one character.
+PIECE = r"[\p{L}\p{N}_]{2,3}|\s\s+"
 TEST_PATH = r"(^|/)tests?/|(^|/)test_[^/]+$|[^/]_test\.[^/.]+$|[^/]\.(test|spec)\.[^/.]+$"
 LANGUAGES = {
     ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
@@ -27,7 +27,7 @@ def _col(c: Column | str) -> Column:
 def token_count(text: Column | str) -> Column:
     """Heuristic tokens: a word costs a third of its characters, rounded up; any other character and any white space run one.
 
-    Each such piece becomes one character, so that no list of them is made.
+    Pieces of a token each become one character, so that no list of them is made.
     """
     return F.char_length(F.regexp_replace(_col(text), PIECE, "x")).cast("long")
 

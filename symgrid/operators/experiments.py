@@ -245,10 +245,10 @@ def probe(found: DataFrame) -> DataFrame:
     return found.withColumn("saved", saved).withColumn("ratio", F.when(F.col("file_tokens") <= 0, 0.0).otherwise(saved / F.col("file_tokens")))
 
 
-def first_of_each_name(defs: DataFrame) -> DataFrame:
-    """The first definition of each name in order of path, line, name and kind."""
-    first = F.min(F.struct("path", "line", "kind", "end_line")).alias("f")  # combined before the shuffle, unlike a row number
-    return defs.groupBy("name").agg(first).select("name", "f.path", "f.line", "f.kind", "f.end_line")
+def first_of_each_name(defs: DataFrame, *more: str) -> DataFrame:
+    """The first definition of each name in order of path, line, name and kind, with ``more`` of its columns."""
+    first = F.min(F.struct("path", "line", "kind", "end_line", *more)).alias("f")  # combined before the shuffle, unlike a row number
+    return defs.groupBy("name").agg(first).select("name", *(f"f.{c}" for c in ("path", "line", "kind", "end_line", *more)))
 
 
 def probe_summary(probed: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Forms made for large tables against the plain ones."""
 
 import random
+import re
 import statistics
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from symgrid.functions import text as X
 from symgrid.operators import display as D
 from symgrid.operators import experiments as E
 from symgrid.operators import resolve as R
@@ -130,6 +132,23 @@ def test_definitions_are_worked_out_once(spark, tmp_path):
         assert made(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
 
 
+@pytest.mark.parametrize("name", ["probe_symbols", "probe_summary"])
+def test_probes_look_nothing_up(spark, tmp_path, name):
+    want = documents(spark, tmp_path, SYMBOLS * 3).sql(ORACLES[name])
+    got = QUERIES[name](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) and got.count()
+
+
+def test_tokens_are_counted_without_a_list(spark):
+    pick = random.Random(3)
+    texts = ["", None, *("".join(pick.choice("ab_1é²Ⅷ𝒜字😀.-'  \n\t\r") for _ in range(k)) for k in range(60)), *("𝒜" * k for k in range(1, 8))]
+    words = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", X.token_count("t").alias("n"))
+    assert "regexp_extract_all" not in words._jdf.queryExecution().optimizedPlan().toString()
+    count = lambda x: sum(-(-len(p) // 3) if re.match(r"\w", p) else 1 for p in re.findall(r"\w+|[^\w\s]|\s+", x))
+    assert [r["n"] for r in words.orderBy("i").collect()] == [None if x is None else count(x) for x in texts]
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 31, 64, 257])
 @pytest.mark.parametrize("words", [50, 1 << 20])
 def test_resamples_are_those_of_pythons_generator(n, words, monkeypatch):
